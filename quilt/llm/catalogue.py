@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quilt.llm import common, decontam, mixing, quality, secret_scan, token_count, tokenfile, url_rank
+from quilt.llm import common, decontam, html_crf, mixing, quality, secret_scan, simhash, token_count, tokenfile, url_rank
 
 
 def tokenizer_path() -> str:
@@ -14,6 +14,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_html_text(spark, sf_dir):
+    return html_crf.main_text(common.table(spark, sf_dir, "pages"))
+
+
+def op2_simhash(spark, sf_dir):
+    return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
 def op3_token_file(spark, sf_dir):
     path = common.new_path(spark, "tokens")
     schema = tokenfile.write(common.table(spark, sf_dir, "documents"), path, tokenizer_path())
@@ -50,7 +58,7 @@ def op10_url_rank(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op3_token_file, op4_source_mix, op5_quality_rules, op6_secret_scan, op8_decontaminate, op9_token_counts, op10_url_rank)}
+    return {f.__name__: f for f in (op1_html_text, op2_simhash, op3_token_file, op4_source_mix, op5_quality_rules, op6_secret_scan, op8_decontaminate, op9_token_counts, op10_url_rank)}
 
 
 def oracle_sql():

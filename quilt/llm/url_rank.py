@@ -65,8 +65,8 @@ def _propagate(seeds: DataFrame, edges: DataFrame, rounds: int, damping: int, la
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("out"))
     shares = edges.join(out, "src").select("src", "dst", "n", "out")
-    total = seeds.agg(F.sum("weight").alias("total"))
-    start = seeds.crossJoin(F.broadcast(total)).selectExpr("host", f"weight * {SCALE // 10**6} div total * {10**6} AS restart").where("restart > 0")
+    total = seeds.agg(F.sum("weight")).first()[0] or 1
+    start = seeds.selectExpr("host", f"weight * {SCALE // 10**6} div {total} * {10**6} AS restart").where("restart > 0")
     rank = start.selectExpr("host", "restart AS rank")
     for i in range(rounds):
         moved = shares.join(rank, shares["src"] == rank["host"]).selectExpr("dst AS host", f"rank * {damping} div 100 div out * n AS rank")
