@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quilt.llm import common, decontam, html_crf, mixing, quality, secret_scan, simhash, token_count, tokenfile, url_rank
+from quilt.llm import common, decontam, html_crf, line_dedup, mixing, quality, secret_scan, simhash, token_count, tokenfile, url_rank
 
 
 def tokenizer_path() -> str:
@@ -40,6 +40,11 @@ def op6_secret_scan(spark, sf_dir):
     return secret_scan.secrets(common.table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark, sf_dir):
+    found = line_dedup.dedup_lines(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_deleted", F.md5("text").alias("text_md5"))
+
+
 def op8_decontaminate(spark, sf_dir):
     found = decontam.search(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     ids = F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string"))))
@@ -58,13 +63,14 @@ def op10_url_rank(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_html_text, op2_simhash, op3_token_file, op4_source_mix, op5_quality_rules, op6_secret_scan, op8_decontaminate, op9_token_counts, op10_url_rank)}
+    return {f.__name__: f for f in (op1_html_text, op2_simhash, op3_token_file, op4_source_mix, op5_quality_rules, op6_secret_scan, op7_line_dedup, op8_decontaminate, op9_token_counts, op10_url_rank)}
 
 
 def oracle_sql():
     return {
         "op4_source_mix": mixing.ORACLE,
         "op5_quality_rules": quality.ORACLE,
+        "op7_line_dedup": line_dedup.ORACLE,
         "op8_decontaminate": decontam.ORACLE,
         "op10_url_rank": url_rank.ORACLE,
     }

@@ -130,6 +130,10 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     all but the bucket in which the rest ends, and only that one is ordered
     row by row, so no task holds a whole source.
     """
+    return _mix(df, id_col, text_col, source_col, weights, most, seed).drop("hash")
+
+
+def _mix(df: DataFrame, id_col: str, text_col: str, source_col: str, weights, most: int, seed: str) -> DataFrame:
     rows = common.materialise(_sized(df, id_col, text_col, source_col, seed), "mix")
     sums = rows.groupBy("pattern").agg(F.sum("size").alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(sums) > MAX_PATTERNS:
@@ -157,12 +161,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     )
     buckets = buckets.select("key", "bucket", "before", "source_size", "target", "passes", "rest", decided.alias("part"))
     joined = rows.join(buckets, ["key", "bucket"])
-    plain = joined.where("part <> 'some'").select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("passes") + (F.col("part") == "all").cast("long"))).alias("taken"))
+    plain = joined.where("part <> 'some'").select("doc_id", "hash", "size", "source_size", "target", (F.col("size") * (F.col("passes") + (F.col("part") == "all").cast("long"))).alias("taken"))
     # In the bucket where the rest ends, a document goes in if more than half of it fits.
     ahead = F.coalesce(F.sum("size").over(Window.partitionBy("key").orderBy("hash", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edge = joined.where("part = 'some'").withColumn("ahead", F.col("before") + ahead)
     more = (2 * F.col("ahead") + F.col("size") <= 2 * F.col("rest")).cast("long")
-    return plain.unionByName(edge.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("passes") + more)).alias("taken")))
+    return plain.unionByName(edge.select("doc_id", "hash", "size", "source_size", "target", (F.col("size") * (F.col("passes") + more)).alias("taken")))
 
 
 def _key(pattern: str) -> Column:
@@ -170,24 +174,33 @@ def _key(pattern: str) -> Column:
     return F.to_json(F.struct(F.col(pattern)), {"ignoreNullFields": "false"})
 
 
+def _hash(doc_id: Column, text: Column, seed: str) -> Column:
+    """A document's place in the seeded order: by its id, or by its text where it has none."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")))))))
+
+
 def _sized(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
     rows = common.picked(df, doc_id=id_col, text=text_col, source=source_col)
     single = dict(rows.dtypes)["source"] == "string"
     pattern = F.array("source") if single else F.when(F.size("source") > 0, F.array_sort(F.array_distinct("source"))).otherwise(F.array(F.lit(None).cast("string")))
-    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")))))))
     return rows.select(
         "doc_id",
         pattern.alias("pattern"),
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(common.WORD)).cast("long").alias("size"),
-        hashed.alias("hash"),
+        _hash(F.col("doc_id"), F.col("text"), seed).alias("hash"),
     ).withColumns({"bucket": F.substring("hash", 1, BUCKET_DIGITS), "key": _key("pattern")})
 
 
-def mixed_documents(df: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """The documents of the mix, columns as they were, each as often as it is taken (whole copies)."""
-    taken = mix(df, weights=weights, most=most).where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("__copies"))
-    copies = taken.groupBy("doc_id").agg(F.max("__copies").alias("__copies"))
-    repeated = df.join(copies, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, most: int = MOST_REPEATS, seed: str = SEED) -> DataFrame:
+    """The documents of the mix, columns as they were, each as often as it is taken (whole copies).
+
+    Rows that share an id (or, without one, a text) are taken as often as the
+    one taken most often.
+    """
+    taken = _mix(df, id_col, text_col, source_col, weights, most, seed).where("taken > 0")
+    copies = taken.groupBy(F.col("hash").alias("__at")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("__copies"))
+    placed = df.withColumn("__hash", _hash(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), seed))
+    repeated = placed.join(copies, F.col("__hash") == F.col("__at")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return repeated.select(*df.columns)
 
 

@@ -4,14 +4,15 @@ The pre-tokenizer of the vocabulary never lets a token run from a character
 that isn't white space into one that is, so a text may be cut wherever white
 space follows anything else: the pieces' ids, joined, are the text's ids.
 Pieces recur, so each worker remembers the ids of the pieces it met and only
-new ones go to the library, joined to long strings and cut apart again by the
-byte length of their tokens.
+new ones go to the library: plain words straight to its merges, others joined
+to strings of some size and cut apart again by the byte length of their tokens.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -21,9 +22,11 @@ SPACE = r" \n" + _RARE
 _PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: Texts with none of these, nor white space side by side or at an end, are cut by str.split alone.
 _ODD = re.compile(f"[{_RARE}]")
+#: A space and these letters are one word to the pre-tokenizer.
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ž]+").fullmatch
 _WHITE = re.compile(f"[{SPACE}]")
-#: Pieces remembered by a worker, and the longest one remembered; neither changes a result.
-MEMORY, LONGEST = 1_000_000, 64
+#: Pieces remembered by a worker in each of two generations, and the longest one remembered; neither changes a result.
+MEMORY, LONGEST = 600_000, 64
 
 
 def _uneven(text: str) -> bool:
@@ -47,6 +50,11 @@ class Pieces:
             self.width[i] = len(token.content.encode())
         self.lengths_only = lengths_only
         self.known: dict = {}
+        self.older: dict = {}
+        # The vocabulary writes a byte as one character: printable Latin-1 as it is, the others from 256 on in order.
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = iter(range(256, 512))
+        self.symbols = [chr(b if b in plain else next(others)) for b in range(256)]
 
     def cut(self, text: str) -> list[str]:
         """Pieces of a text; evenly spaced texts come back from split with the single space before each word left off."""
@@ -57,51 +65,58 @@ class Pieces:
             return found[:1] + [p[1:] if p[0] == " " and p[1:] and not _WHITE.match(p, 1) else "\r" + p for p in found[1:]]
         return text.replace("\n", " \n").split(" ")
 
-    def _learn(self, raw: list[str]) -> list:
-        """Values of pieces (as they stand in the text) by encoding them joined."""
-        out: list = []
-        start = 0
-        while start < len(raw):
-            size, end = 0, start
-            while end < len(raw) and (size < 2048 or end == start):
-                size += len(raw[end])
-                end += 1
-            part = raw[start:end]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.cumsum(self.width[ids]) if len(ids) else np.zeros(0, dtype=np.int64)
-            want = np.cumsum([len(p.encode()) for p in part])
-            cuts = np.searchsorted(ends, want, side="left") + 1
-            if len(ids) and not np.array_equal(ends[cuts - 1], want):
-                raise RuntimeError("a piece doesn't end where a token ends")
-            if self.lengths_only:
-                out += np.diff(cuts, prepend=0).tolist()
+    def _joined(self, raw: list[str]) -> list:
+        """Values of pieces that begin with white space and end with anything else, encoded 200 at a time as one string."""
+        texts = ["".join(raw[i : i + 200]) for i in range(0, len(raw), 200)]
+        ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        ends, want = np.cumsum(self.width[ids]), np.cumsum([len(p.encode()) for p in raw])
+        cuts = np.searchsorted(ends, want) + 1
+        if not np.array_equal(ends[cuts - 1], want):
+            raise RuntimeError("a piece doesn't end where a token ends")
+        if self.lengths_only:
+            return np.diff(cuts, prepend=0).tolist()
+        data, bounds = ids.tobytes(), (cuts * 4).tolist()
+        return [data[a:b] for a, b in zip([0, *bounds], bounds)]
+
+    def _new(self, pieces: list[str]) -> dict:
+        """Values of pieces as cut leaves them."""
+        out, plain, other = {}, [], []
+        merge, symbols, lengths = self.tokenizer.model.tokenize, self.symbols.__getitem__, self.lengths_only
+        # A piece is led by its space unless it starts with a line feed; "\r" marks one that is kept as it is.
+        for p in pieces:
+            if _LATIN(p):  # one word for the merges
+                found = merge("Ġ" + p if p.isascii() else "Ġ" + "".join(map(symbols, p.encode())))
+                out[p] = len(found) if lengths else array("I", [t.id for t in found]).tobytes()
+            elif p[0] == "\r" or _WHITE.match(p[-1]):
+                other.append(p)
             else:
-                data, bounds = ids.tobytes(), (cuts * 4).tolist()
-                out += [data[a:b] for a, b in zip([0, *bounds], bounds)]
-            start = end
+                plain.append(p)
+        if plain:
+            out.update(zip(plain, self._joined([p if p[0] == "\n" else " " + p for p in plain])))
+        if other:
+            out.update(zip(other, self._heads([p if p[0] == "\n" else p[1:] if p[0] == "\r" else " " + p for p in other])))
         return out
 
     def values(self, texts: list[str | None]) -> list[list]:
         """Per text, the values of its pieces."""
-        known = self.known
-        if len(known) > MEMORY:
-            known.clear()
+        if len(self.known) > MEMORY:
+            self.known, self.older = {}, self.known
         cuts = [self.cut(t or "") for t in texts]
-        firsts = [p[0] for p in cuts if p]
-        rest = {p for parts in cuts for p in parts[1:] if p not in known}
-        fresh = list(rest)
-        # A piece is led by its space unless it starts with a line feed; "\r" marks one that is kept as it is.
-        raw = [p if p[0] == "\n" else p[1:] if p[0] == "\r" else " " + p for p in fresh]
-        # Joined pieces must each begin with white space, as all but first pieces do, and end with anything else.
-        blank = [i for i, p in enumerate(raw) if _WHITE.match(p[-1])]
-        alone = dict(zip(blank, self._heads([raw[i] for i in blank])))
-        joined = iter(self._learn([p for i, p in enumerate(raw) if i not in alone]))
-        got = {p: alone[i] if i in alone else next(joined) for i, p in enumerate(fresh)}
-        short = {p: v for p, v in got.items() if len(p) <= LONGEST}
-        known.update(short)
-        heads = dict(zip(firsts, self._heads(firsts)))
-        find = known.get if len(short) == len(got) else (lambda p: known[p] if p in known else got[p])
-        return [[heads[parts[0]], *map(find, parts[1:])] if parts else [] for parts in cuts]
+        filled = [parts for parts in cuts if parts]
+        heads = self._heads([parts.pop(0) for parts in filled])
+        # Distinct pieces of the group first: a table of its size stays in the cache, the worker's memory doesn't.
+        distinct = set().union(*filled)
+        here = dict(zip(distinct, map(self.known.get, distinct)))
+        missing = [p for p, v in here.items() if v is None]
+        if missing:
+            older = self.older
+            got = {p: older[p] for p in missing if p in older} if older else {}
+            got.update(self._new([p for p in missing if p not in got] if got else missing))
+            here.update(got)
+            self.known.update((p, v) for p, v in got.items() if len(p) <= LONGEST)
+        find = here.__getitem__
+        done = iter([[h, *map(find, parts)] for h, parts in zip(heads, filled)])
+        return [next(done) if t else [] for t in texts]
 
     def _heads(self, heads: list[str]) -> list:
         """First pieces have no white space before them to part them, so they are encoded one by one."""
@@ -110,8 +125,8 @@ class Pieces:
             out.append(len(e.ids) if self.lengths_only else np.array(e.ids, dtype="<u4").tobytes())
         return out
 
-    def _groups(self, texts: list[str | None], limit: int = 1 << 18):
-        """Texts in groups of some 256 kB, whose pieces stay in the processor's cache."""
+    def _groups(self, texts: list[str | None], limit: int = 1 << 19):
+        """Texts in groups of some 512 kB, whose pieces stay in the processor's cache."""
         start, held = 0, 0
         for i, t in enumerate(texts):
             held += len(t or "")

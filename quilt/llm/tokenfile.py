@@ -1,7 +1,7 @@
 """Token ids in ORC files: integer run-length encoding, row indexes, Bloom filters on document ids.
 
 A data set is a folder of ORC files in ascending document order. Each row holds
-``doc_id``, ``part`` (the writing task's number, ascending with doc_id),
+``doc_id``, ``part`` (the number of its range, ascending with doc_id),
 ``part_start`` (ids before the document within its part) and ``ids``. ORC
 encodes the integer columns as runs, keeps minima and maxima per stripe and row
 group, and a Bloom filter of doc_id, so a reader that asks for some documents
@@ -15,7 +15,6 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,33 +33,42 @@ def _schema(df: DataFrame, id_col: str) -> str:
 def write(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> str:
     """Encode every row's whole text, append end_id and write ORC files under path; returns the files' schema.
 
-    Texts are dealt by ranges of (doc_id, hash of the text), so one id that
-    holds many rows spreads too; rows of one id stand in the order of that
-    hash. A null id comes first, a null text is an empty one (just the end
-    id), repeated rows are all written, an empty table gives an empty data
-    set, other columns are ignored.
+    Texts are dealt by ranges of doc_id, whose bounds come from the id column
+    alone, so texts are read once. An id that fills several ranges (one that
+    holds many rows) is spread over them by a hash of the text, in the order
+    of which rows of one id stand. A null id comes first, a null text is an
+    empty one (just the end id), repeated rows are all written, an empty table
+    gives an empty data set, other columns are ignored. doc_id is a whole
+    number.
     """
     schema = _schema(df, id_col)
 
     def encode(batches):
         pieces = worker_pieces(tokenizer, False)
-        part, start = TaskContext.get().partitionId(), 0
+        starts: dict[int, int] = {}
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for rows in common.by_bytes(batch, "text"):
                 ids = pieces.ids(rows.column("text").to_pylist())
                 n = np.array([len(x) // 4 + 1 for x in ids], dtype=np.int64)
-                ends = np.cumsum(n)
                 values = np.frombuffer(b"".join(x + end for x in ids), dtype="<i4")
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values))
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array(np.full(len(ids), part, dtype=np.int32)), pa.array(start + ends - n), pa.array(n), lists],
-                    ["doc_id", "part", "part_start", "n_tokens", "ids"],
-                )
-                start += int(ends[-1])
-
-    rows = common.picked(df, doc_id=id_col, text=text_col).withColumn("tie", F.xxhash64("text"))
-    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(values))
+                before = []
+                for part, k in zip(rows.column("part").to_pylist(), n.tolist()):
+                    before.append(starts.get(part, 0))
+                    starts[part] = before[-1] + k
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("part"), pa.array(before, pa.int64()), pa.array(n), lists], ["doc_id", "part", "part_start", "n_tokens", "ids"])
+
+    rows = common.picked(df, doc_id=id_col, text=text_col)
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = [i / ranges for i in range(1, ranges)]
+    bounds = rows.agg(F.percentile_approx("doc_id", at, 10 * ranges)).first()[0] or []
+    # Ranges are counted from 0; bounds that repeat stand for one id's ranges, dealt by hash. Nulls are a range before all others.
+    below = F.size(F.filter(F.lit(bounds).cast("array<long>"), lambda b: b < F.col("doc_id")))
+    repeats = F.size(F.filter(F.lit(bounds).cast("array<long>"), lambda b: b == F.col("doc_id")))
+    tie = F.xxhash64("text")
+    part = F.when(F.col("doc_id").isNull(), F.pmod(tie, F.lit(ranges)) - ranges).otherwise(below + F.when(repeats > 1, F.pmod(tie, repeats)).otherwise(0))
+    ordered = rows.withColumn("part", part.cast("int")).repartition("part").sortWithinPartitions("part", "doc_id", F.xxhash64("text"), "text")
     writer = ordered.mapInArrow(encode, schema).write.option("compression", "zstd")
     writer.option("orc.bloom.filter.columns", "doc_id").option("orc.stripe.size", str(STRIPE_BYTES)).option("orc.row.index.stride", str(ROW_GROUP)).orc(path)
     return schema
