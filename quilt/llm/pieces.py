@@ -26,7 +26,7 @@ _ODD = re.compile(f"[{_RARE}]")
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ž]+").fullmatch
 _WHITE = re.compile(f"[{SPACE}]")
 #: Pieces remembered by a worker in each of two generations, and the longest one remembered; neither changes a result.
-MEMORY, LONGEST = 600_000, 64
+MEMORY, LONGEST = 200_000, 64
 
 
 def _uneven(text: str) -> bool:
