@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quilt.plans import sparse
+from quilt.plans import graph, sparse
 
-_GROUPS = (sparse,)
+_GROUPS = (sparse, graph)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
