@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quilt.plans import graph, sparse
+from quilt.plans import graph, scalars, sparse
 
-_GROUPS = (sparse, graph)
+_GROUPS = (sparse, graph, scalars)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
