@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    spark = df.sparkSession
+def new_path(spark: SparkSession, label: str) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file:///tmp/checkpoints"
-    path = f"{folder.rstrip('/')}/quilt/{label}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/quilt/{label}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, label: str) -> DataFrame:
+    spark = df.sparkSession
+    path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
