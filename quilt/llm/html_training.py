@@ -65,6 +65,10 @@ class _Page:
             kind, text = r.random(), _MARK + self.prose()
             if i == 0 and r.random() < 0.4:
                 out.append(f"<p><b>{text}<br>")
+            elif kind < 0.06:
+                out.append(f"<p>{_MARK}{r.choice(_PHRASES)}</p>")
+            elif kind < 0.09:
+                out.append(f"<p>{_MARK}{' | '.join(self.words(1, 2) for _ in range(r.randint(3, 20)))}</p>")
             elif kind < 0.72:
                 out.append(f"<p>{text}</p>" if r.random() < 0.85 else f"<p>{text}")
             elif kind < 0.78:
@@ -73,8 +77,6 @@ class _Page:
                 out.append("<ul>" + "".join(f"<li>{_MARK}{self.words(2, 12)}{r.choice(('', '.'))}</li>" for _ in range(r.randint(2, 4))) + "</ul>")
             elif kind < 0.88:
                 out.append(f"<blockquote><p>{text}</p></blockquote>")
-            elif kind < 0.89:
-                out.append(f"<p>{_MARK}{r.choice(_PHRASES)}</p>")
             elif kind < 0.91:
                 out.append(f"<p>{_MARK}{self.words(1, 2).capitalize()}.</p>")
             elif kind < 0.94:
