@@ -25,8 +25,9 @@ _ODD = re.compile(f"[{_RARE}]")
 #: A space and these letters are one word to the pre-tokenizer.
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ž]+").fullmatch
 _WHITE = re.compile(f"[{SPACE}]")
-#: Pieces remembered by a worker in each of two generations, and the longest one remembered; neither changes a result.
-MEMORY, LONGEST = 200_000, 64
+#: Pieces remembered by a worker, and the longest one remembered; neither changes a result. A full memory stays as it
+#: is (frequent pieces come early) until a group has more than this share of pieces that it lacks.
+MEMORY, LONGEST, STALE = 600_000, 64, 0.5
 
 
 def _uneven(text: str) -> bool:
@@ -50,7 +51,6 @@ class Pieces:
             self.width[i] = len(token.content.encode())
         self.lengths_only = lengths_only
         self.known: dict = {}
-        self.older: dict = {}
         # The vocabulary writes a byte as one character: printable Latin-1 as it is, the others from 256 on in order.
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = iter(range(256, 512))
@@ -99,8 +99,6 @@ class Pieces:
 
     def values(self, texts: list[str | None]) -> list[list]:
         """Per text, the values of its pieces."""
-        if len(self.known) > MEMORY:
-            self.known, self.older = {}, self.known
         cuts = [self.cut(t or "") for t in texts]
         filled = [parts for parts in cuts if parts]
         heads = self._heads([parts.pop(0) for parts in filled])
@@ -109,11 +107,12 @@ class Pieces:
         here = dict(zip(distinct, map(self.known.get, distinct)))
         missing = [p for p, v in here.items() if v is None]
         if missing:
-            older = self.older
-            got = {p: older[p] for p in missing if p in older} if older else {}
-            got.update(self._new([p for p in missing if p not in got] if got else missing))
+            got = self._new(missing)
             here.update(got)
-            self.known.update((p, v) for p, v in got.items() if len(p) <= LONGEST)
+            if len(self.known) < MEMORY:
+                self.known.update((p, v) for p, v in got.items() if len(p) <= LONGEST)
+            elif len(missing) > STALE * sum(map(len, filled)):
+                self.known = {}
         find = here.__getitem__
         done = iter([[h, *map(find, parts)] for h, parts in zip(heads, filled)])
         return [next(done) if t else [] for t in texts]
