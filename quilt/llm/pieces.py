@@ -27,7 +27,7 @@ _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ž]+").fullmatch
 _WHITE = re.compile(f"[{SPACE}]")
 #: Pieces remembered by a worker, and the longest one remembered; neither changes a result. A full memory stays as it
 #: is (frequent pieces come early) until a group has more than this share of pieces that it lacks.
-MEMORY, LONGEST, STALE = 600_000, 64, 0.5
+MEMORY, LONGEST, STALE = 500_000, 64, 0.5
 
 
 def _uneven(text: str) -> bool:
