@@ -3,9 +3,10 @@
 The pre-tokenizer of the vocabulary never lets a token run from a character
 that isn't white space into one that is, so a text may be cut wherever white
 space follows anything else: the pieces' ids, joined, are the text's ids.
-Pieces recur, so each worker remembers the ids of the pieces it met and only
-new ones go to the library: plain words straight to its merges, others joined
-to strings of some size and cut apart again by the byte length of their tokens.
+Pieces recur, so a batch is cut and its distinct pieces are found in Arrow, each
+worker remembers the ids of the pieces it met, and only new ones go to the
+library: plain words straight to its merges, others joined to strings of some
+size and cut apart again by the byte length of their tokens.
 """
 
 from __future__ import annotations
@@ -15,26 +16,23 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The white space of the pre-tokenizer's pattern (Unicode White_Space), the two common ones apart.
 _RARE = r"\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = r" \n" + _RARE
 _PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: Texts with none of these, nor white space side by side or at an end, are cut by str.split alone.
-_ODD = re.compile(f"[{_RARE}]")
-#: A space and these letters are one word to the pre-tokenizer.
-_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ž]+").fullmatch
+#: Texts with a match have white space side by side, at an end or of the rare kind; all others are cut at spaces and line feeds alone.
+_UNEVEN = r"  |\n\n| \n|\n |\A[ \n]|[ \n]\z|" + f"[{_RARE.encode().decode('unicode_escape')}]"
+#: Letters, then signs: one word and one run of signs to the pre-tokenizer. A space goes to the word, a line feed stands alone.
+_LATIN = re.compile(r"([\r\n]?)([A-Za-zÀ-ÖØ-öø-ž]+)([!-/:-@\[-`{-~]*)").fullmatch
 _WHITE = re.compile(f"[{SPACE}]")
 #: Pieces remembered by a worker, and the longest one remembered; neither changes a result. A full memory stays as it
 #: is (frequent pieces come early) until a group has more than this share of pieces that it lacks.
 MEMORY, LONGEST, STALE = 500_000, 64, 0.5
 
 
-def _uneven(text: str) -> bool:
-    doubled = "  " in text or "\n\n" in text or " \n" in text or "\n " in text
-    return doubled or text[0] in " \n" or text[-1] in " \n" or _ODD.search(text) is not None
-
-
 class Pieces:
     """Ids (little-endian uint32 bytes) or lengths of texts under one vocabulary file."""
 
@@ -56,14 +54,23 @@ class Pieces:
         others = iter(range(256, 512))
         self.symbols = [chr(b if b in plain else next(others)) for b in range(256)]
 
-    def cut(self, text: str) -> list[str]:
-        """Pieces of a text; evenly spaced texts come back from split with the single space before each word left off."""
-        if not text:
-            return []
-        if _uneven(text):
-            found = _PIECE.findall(text)
-            return found[:1] + [p[1:] if p[0] == " " and p[1:] and not _WHITE.match(p, 1) else "\r" + p for p in found[1:]]
-        return text.replace("\n", " \n").split(" ")
+    def _cut_uneven(self, text: str) -> list[str]:
+        """Pieces of a text as _cut leaves them."""
+        found = _PIECE.findall(text)
+        return ["\r" + found[0]] + [p[1:] if p[0] == " " and p[1:] and not _WHITE.match(p, 1) else "\r" + p for p in found[1:]]
+
+    def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, pa.DictionaryArray]:
+        """Rows in the order they are cut in, the pieces' bounds by row and the pieces.
+
+        The single space before a word is left off; "\\r" marks a piece that is kept as it is, such as a text's first.
+        """
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        uneven = pc.match_substring_regex(texts, _UNEVEN)
+        rows = pc.array_sort_indices(uneven.cast(pa.int8()))
+        even = pc.binary_join_element_wise(pa.scalar("\r", pa.large_string()), texts.filter(pc.invert(uneven)), pa.scalar("", pa.large_string()))
+        lists = [pc.split_pattern(pc.replace_substring(even, "\n", " \n"), " "), pa.array(map(self._cut_uneven, texts.filter(uneven).to_pylist()), pa.list_(pa.large_string()))]
+        bounds = np.cumsum(np.concatenate([[0], *(pc.list_value_length(x).to_numpy() for x in lists)]))
+        return rows, bounds, pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
 
     def _joined(self, raw: list[str]) -> list:
         """Values of pieces that begin with white space and end with anything else, encoded 200 at a time as one string."""
@@ -79,14 +86,34 @@ class Pieces:
         return [data[a:b] for a, b in zip([0, *bounds], bounds)]
 
     def _new(self, pieces: list[str]) -> dict:
-        """Values of pieces as cut leaves them."""
+        """Values of pieces as _cut leaves them, and of the parts they are put together from."""
         out, plain, other = {}, [], []
-        merge, symbols, lengths = self.tokenizer.model.tokenize, self.symbols.__getitem__, self.lengths_only
+        merge, symbols, lengths, known = self.tokenizer.model.tokenize, self.symbols.__getitem__, self.lengths_only, self.known
+
+        def word(key: str):
+            value = out.get(key) or known.get(key)
+            if value is None:
+                found = key if key.isascii() else "".join(map(symbols, key.encode()))
+                found = merge("Ġ" + found if key[0] != "\r" else found[1:] if key.isascii() else found[len(self.symbols[13]) :])
+                value = out[key] = len(found) if lengths else array("I", [t.id for t in found]).tobytes()
+            return value
+
+        def signs(run: str):
+            key = "\r" + run
+            value = out.get(key) or known.get(key)
+            if value is None:
+                value = out[key] = self._heads([run])[0]
+            return value
+
         # A piece is led by its space unless it starts with a line feed; "\r" marks one that is kept as it is.
         for p in pieces:
-            if _LATIN(p):  # one word for the merges
-                found = merge("Ġ" + p if p.isascii() else "Ġ" + "".join(map(symbols, p.encode())))
-                out[p] = len(found) if lengths else array("I", [t.id for t in found]).tobytes()
+            parts = _LATIN(p)
+            if parts:
+                lead, letters, tail = parts.groups()
+                value = word(lead and "\r" + letters or letters)
+                if lead == "\n":
+                    value = signs(lead) + value
+                out[p] = value + signs(tail) if tail else value
             elif p[0] == "\r" or _WHITE.match(p[-1]):
                 other.append(p)
             else:
@@ -97,47 +124,49 @@ class Pieces:
             out.update(zip(other, self._heads([p if p[0] == "\n" else p[1:] if p[0] == "\r" else " " + p for p in other])))
         return out
 
-    def values(self, texts: list[str | None]) -> list[list]:
-        """Per text, the values of its pieces."""
-        cuts = [self.cut(t or "") for t in texts]
-        filled = [parts for parts in cuts if parts]
-        heads = self._heads([parts.pop(0) for parts in filled])
-        # Distinct pieces of the group first: a table of its size stays in the cache, the worker's memory doesn't.
-        distinct = set().union(*filled)
-        here = dict(zip(distinct, map(self.known.get, distinct)))
-        missing = [p for p, v in here.items() if v is None]
-        if missing:
-            got = self._new(missing)
-            here.update(got)
-            if len(self.known) < MEMORY:
-                self.known.update((p, v) for p, v in got.items() if len(p) <= LONGEST)
-            elif len(missing) > STALE * sum(map(len, filled)):
-                self.known = {}
-        find = here.__getitem__
-        done = iter([[h, *map(find, parts)] for h, parts in zip(heads, filled)])
-        return [next(done) if t else [] for t in texts]
-
     def _heads(self, heads: list[str]) -> list:
-        """First pieces have no white space before them to part them, so they are encoded one by one."""
+        """Pieces with no other before them to part them from, encoded one by one."""
         out = []
         for e in self.tokenizer.encode_batch_fast(heads, add_special_tokens=False) if heads else []:
             out.append(len(e.ids) if self.lengths_only else np.array(e.ids, dtype="<u4").tobytes())
         return out
 
-    def _groups(self, texts: list[str | None], limit: int = 1 << 19):
-        """Texts in groups of some 512 kB, whose pieces stay in the processor's cache."""
-        start, held = 0, 0
-        for i, t in enumerate(texts):
-            held += len(t or "")
-            if held >= limit or i + 1 == len(texts):
-                yield self.values(texts[start : i + 1])
-                start, held = i + 1, 0
+    def _values(self, distinct: list[str], pieces: int) -> list:
+        """Values of the distinct pieces of a batch of so many pieces."""
+        found = list(map(self.known.get, distinct))
+        missing = [p for p, v in zip(distinct, found) if v is None]
+        if missing:
+            got = self._new(missing)
+            found = [got[p] if v is None else v for p, v in zip(distinct, found)]
+            if len(self.known) < MEMORY:
+                self.known.update((p, v) for p, v in got.items() if len(p) <= LONGEST)
+            elif len(missing) > STALE * pieces:
+                self.known = {}
+        return found
+
+    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in order (none with lengths only) and the number of ids of each; a null is an empty text."""
+        if not len(texts):
+            return np.empty(0, "<u4"), np.empty(0, np.int64)
+        rows, bounds, pieces = self._cut(texts)
+        found = self._values(pieces.dictionary.to_pylist(), len(pieces))
+        width = np.array(found if self.lengths_only else [len(v) // 4 for v in found], dtype=np.int64)
+        at = pieces.indices.to_numpy()
+        n = np.empty(len(texts), dtype=np.int64)
+        n[rows.to_numpy()] = np.add.reduceat(width[at], bounds[:-1])
+        if self.lengths_only:
+            return np.empty(0, "<u4"), n
+        lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(width)]), pa.array(np.frombuffer(b"".join(found), "<u4")))
+        back = pa.LargeListArray.from_arrays(bounds, pieces.indices).take(pc.array_sort_indices(rows)).flatten()
+        return lists.take(back).flatten().to_numpy(), n
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        return [b"".join(v) for group in self._groups(texts) for v in group]
+        values, n = self.encoded(pa.array(texts, pa.large_string()))
+        ends = np.cumsum(n).tolist()
+        return [values[a:b].tobytes() for a, b in zip([0, *ends], ends)]
 
     def lengths(self, texts: list[str | None]) -> list[int]:
-        return [sum(v) for group in self._groups(texts) for v in group]
+        return self.encoded(pa.array(texts, pa.large_string()))[1].tolist()
 
 
 _held: dict[tuple, Pieces] = {}

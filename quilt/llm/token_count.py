@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from quilt.llm import common
@@ -26,10 +27,11 @@ def token_counts(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
         pieces = worker_pieces(tokenizer, True)
         for batch in batches:
             for part in common.by_bytes(batch, "text"):
-                texts = part.column("text").to_pylist()
-                n = pieces.lengths(texts)
+                texts = part.column("text")
+                _, n = pieces.encoded(texts)
+                size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
+                    [part.column("doc_id"), size, pa.array(n), pa.array(n > limit)],
                     ["doc_id", "n_bytes", "n_tokens", "over_limit"],
                 )
 

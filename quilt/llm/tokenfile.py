@@ -46,12 +46,10 @@ def write(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text
     def encode(batches):
         pieces = worker_pieces(tokenizer, False)
         starts: dict[int, int] = {}
-        end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for rows in common.by_bytes(batch, "text"):
-                ids = pieces.ids(rows.column("text").to_pylist())
-                n = np.array([len(x) // 4 + 1 for x in ids], dtype=np.int64)
-                values = np.frombuffer(b"".join(x + end for x in ids), dtype="<i4")
+                values, n = pieces.encoded(rows.column("text"))
+                values, n = np.insert(values.view("<i4"), np.cumsum(n), end_id), n + 1
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(values))
                 before = []
                 for part, k in zip(rows.column("part").to_pylist(), n.tolist()):
