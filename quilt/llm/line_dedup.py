@@ -29,6 +29,23 @@ MIN_WORDS = 50
 NO_ID = (1 << 63) - 1
 #: Sorts before every rank: the end of a stretch.
 END = -(1 << 63)
+#: A key with more than this share of all rows is hot, so that fewer than its inverse are.
+HOT = 1 / 1024
+
+
+def _with_key(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
+    """Rows joined (inner) with keys, which has a row for each key and n, at least the key's rows; total: rows at most.
+
+    Fewer than 1024 keys can be hot; these are broadcast, and their rows are dealt by a hash of the whole row in place
+    of the key's last column, a long. Should one meet a key by chance, what was broadcast counts.
+    """
+    value = F.struct(*[c for c in keys.columns if c not in on])
+    is_hot = F.col("n") > total * HOT
+    hot = keys.where(is_hot).select(*on, value.alias("by_hot"))
+    rest = keys.where(~is_hot).select(*on[:-1], F.col(on[-1]).alias("dealt"), value.alias("by_key"))
+    dealt = F.when(F.col("by_hot").isNotNull(), F.xxhash64(*rows.columns)).otherwise(F.col(on[-1]))
+    found = rows.join(F.broadcast(hot), on, "left").withColumn("dealt", dealt).join(rest, [*on[:-1], "dealt"], "left")
+    return found.withColumn("by", F.coalesce("by_hot", "by_key")).where("by IS NOT NULL").select(*rows.columns, "by.*")
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -57,13 +74,13 @@ def _least_windows(min_words: int, batches):
 def _ranked(stretches: DataFrame, longest: int) -> DataFrame:
     """(d, h, pos, rs): rs[t] is the rank of the suffix at pos by its first 2^t lines, for 2^t <= longest."""
     now = stretches.select("d", "h", "g", "pos", F.col("id").alias("r"), F.array("id").alias("rs"))
-    k = 1
+    total, k = stretches.count(), 1
     while 2 * k <= longest:
         along = Window.partitionBy("d", "h", "g").orderBy("pos")
         pairs = now.withColumn("r2", F.coalesce(F.lead("r", k).over(along), F.lit(END)))
         # Each distinct pair once, in order over all partitions; the numbers ascend and are written before use.
-        ranks = common.materialise(pairs.groupBy("r", "r2").agg(F.count("*").alias("n")).orderBy("r", "r2").select("r", "r2", F.monotonically_increasing_id().alias("rank")), "ranks")
-        now = common.materialise(pairs.join(ranks, ["r", "r2"]).select("d", "h", "g", "pos", F.col("rank").alias("r"), F.concat("rs", F.array("rank")).alias("rs")), "suffixes")
+        ranks = common.materialise(pairs.groupBy("r", "r2").agg(F.count("*").alias("n")).orderBy("r", "r2").select("r", "r2", "n", F.monotonically_increasing_id().alias("rank")), "ranks")
+        now = common.materialise(_with_key(pairs, ranks, ["r", "r2"], total).select("d", "h", "g", "pos", F.col("rank").alias("r"), F.concat("rs", F.array("rank")).alias("rs")), "suffixes")
         k *= 2
     return now.select("d", "h", "pos", "rs")
 
@@ -73,8 +90,8 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     split = F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")
     lines = _keyed(df, id_col, text_col).select("d", "h", split).select("d", "h", "pos", F.xxhash64("line").alias("id"), F.regexp_count("line", F.lit(common.WORD)).alias("w"))
     lines = common.materialise(lines, "lines")
-    again = lines.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
-    shared = lines.join(again, "id", "left_semi").dropDuplicates(["d", "h", "pos"])
+    again = lines.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    shared = _with_key(lines, again, ["id"], lines.count()).drop("n").dropDuplicates(["d", "h", "pos"])
     order = Window.partitionBy("d", "h").orderBy("pos")
     stretches = shared.withColumn("g", F.col("pos") - F.row_number().over(order)).withColumn("total", F.sum("w").over(Window.partitionBy("d", "h", "g")))
     stretches = common.materialise(stretches.where(F.col("total") >= min_words).drop("total"), "stretches")
@@ -91,8 +108,8 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = named.select("d", "h", "start", "m", F.element_at("rs1", F.col("t") + 1).alias("a"), F.element_at("rs2", F.col("t") + 1).alias("b"))
     named = common.materialise(named, "named")
     at = F.struct("d", "h", "start")
-    firsts = named.groupBy("m", "a", "b").agg(F.min(at).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return named.join(firsts, ["m", "a", "b"]).where(at > F.col("least")).select("d", "h", "start", "m")
+    firsts = named.groupBy("m", "a", "b").agg(F.min(at).alias("least"), F.count("*").alias("n")).where("n > 1")
+    return _with_key(named, firsts, ["m", "a", "b"], named.count()).where(at > F.col("least")).select("d", "h", "start", "m")
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
