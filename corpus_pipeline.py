@@ -20,7 +20,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with windows of fewer than two benchmark items."""
+    """Documents without a window of any benchmark item."""
     return decontam.clean_documents(docs, common.table(spark, sf_dir, "benchmark"))
 
 

@@ -154,10 +154,10 @@ def _arrow(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16()}[kind]
 
 
-def clean_documents(df: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS) -> DataFrame:
-    """The rows of df in which fewer than min_items benchmark items occur; columns as they were."""
+def clean_documents(df: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of df in which no window of any benchmark item occurs, items without an id included; columns as they were."""
     found = search(df, benchmark, carry=True)
-    return found.where(F.size("items") < min_items).select(*df.columns)
+    return found.where("n_hit = 0").select(*df.columns)
 
 
 #: DuckDB SQL for the query's rows.

@@ -86,6 +86,14 @@ def test_decontamination(docs, none, benchmark):
     assert sorted(map(repr, whole.collect())) == sorted(map(repr, blocks.collect()))
 
 
+def test_stage_drops_single_items(spark, docs, benchmark):
+    """One planted passage of one item, with an id or without, is enough for the stage; n_items >= 2 is the query's column alone."""
+    item = " ".join(f"w{i}" for i in range(5, 30))
+    rows = [(1, f"before it {item} after it"), (2, "before it " + " ".join(item.split()[4:12])), (3, " ".join(item.split()[:7])), (4, "says W1, w2; w3!"), (5, None)]
+    stage = decontam.clean_documents(spark.createDataFrame(rows, "doc_id long, text string"), benchmark)
+    assert stage.columns == ["doc_id", "text"] and sorted(r.doc_id for r in stage.collect()) == [3, 5]
+
+
 def test_line_dedup(docs, none):
     got = line_dedup.dedup_lines(docs)
     assert got.count() == len(ROWS) and line_dedup.dedup_lines(none).count() == 0
