@@ -1,0 +1,163 @@
+"""Near copies by exact similarity of word shingles; MinHash bands find the candidates.
+
+Texts are near copies if their sets of five-word shingles have a Jaccard
+similarity of 0.8 or more. Two such texts share a band key with a probability
+of at least 1 - (1 - 0.8^6)^24 = 0.9993, and all that share one are candidates.
+Members of a band key are compared with one of them, another one each turn, as
+long as pairs of candidates in different groups outnumber the keys and a turn
+takes away a tenth of them; then all such pairs are compared. Every comparison is of the shingles
+themselves.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quilt.llm import common
+from quilt.llm.components import components
+
+SHINGLE = 5
+SIMILARITY = 0.8
+BANDS, ROWS = 24, 6
+#: Pairs whose sketches agree in a share lower by this much aren't compared: 5.4 standard deviations, about one pair in ten million at 0.8.
+MARGIN = 0.18
+SEED = 42
+_RANDOM = np.random.default_rng(SEED)
+_TIMES = (_RANDOM.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1))[:, None]
+_PLUS = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)[:, None]
+
+
+def shingles(data: bytes, size: int = SHINGLE) -> set[bytes]:
+    """Shingles of lowered words (A-Z and ASCII white space alone); shorter texts are one shingle, no words none."""
+    words = data.lower().split()
+    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def similar(a: set, b: set, least: float = SIMILARITY) -> bool:
+    """Whether the Jaccard similarity is ``least`` or more; two empty sets are alike."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    common_ones = len(a & b)
+    return common_ones >= least * (len(a) + len(b) - common_ones)
+
+
+def band_keys(found: set[bytes]) -> tuple[np.ndarray, bytes]:
+    """BANDS keys, each of the least values of ROWS permutations over the shingles' hashes, and a byte of each value."""
+    least = np.full(BANDS * ROWS, (1 << 32) - 1, dtype=np.uint32)
+    digest = xxhash.xxh32_intdigest
+    hashes = np.fromiter((digest(s, SEED) for s in found), dtype=np.uint32, count=len(found))
+    for at in range(0, len(hashes), 512):
+        np.minimum(least, (hashes[at : at + 512] * _TIMES + _PLUS).min(axis=1), out=least)
+    data, width = least.tobytes(), 4 * ROWS
+    keys = np.array([xxhash.xxh64_intdigest(data[i * width : (i + 1) * width], i) for i in range(BANDS)], dtype=np.uint64)
+    return keys.view(np.int64), least.astype(np.uint8).tobytes()
+
+
+def _bands(batches):
+    for batch in batches:
+        for part in common.by_bytes(batch, "text"):
+            keys, sketches = zip(*(band_keys(shingles(d.as_py())) for d in part.column("text").cast(pa.binary())))
+            flat = pa.array(np.concatenate(keys))
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("node"), listed, pa.array(sketches, pa.binary())], ["doc_id", "node", "bands", "sketch"])
+
+
+def _likely(least: float):
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BANDS * ROWS) for c in ("sketch_a", "sketch_b"))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= least - MARGIN))
+
+    return run
+
+
+def _compare(least: float):
+    def run(batches):
+        at, held = None, set()  # rows mostly come sorted by b
+        for batch in (part for whole in batches for part in common.by_bytes(whole, "text_a")):
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            out = []
+            for k, (x, y) in enumerate(zip(batch.column("text_a").cast(pa.binary()), batch.column("text_b").cast(pa.binary()))):
+                if b[k] != at:
+                    at, held = b[k], shingles(y.as_py())
+                if similar(shingles(x.as_py()), held, least):
+                    out.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in out], pa.int64()), pa.array([b[k] for k in out], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts are similar."""
+    pairs = pairs.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b")
+    pairs = common.materialise(pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_likely(least), "a long, b long"), "likely")
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    some = common.materialise(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "candidates")
+    left = pairs.join(some.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    both = left.join(some.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    return common.materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(_compare(least), "a long, b long"), "similar")
+
+
+def _node(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+
+
+def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """(doc_id, node, component) per row of df: the hash of its text and the least one that links of near copies reach."""
+    texts = df.select(_node(text_col).alias("node"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    named = df.select(F.col(f"`{id_col}`").alias("doc_id"), _node(text_col).alias("node"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    docs = common.materialise(named.mapInArrow(_bands, "doc_id long, node long, bands array<long>, sketch binary"), "bands")
+    sketches = common.materialise(docs.groupBy("node").agg(F.min("sketch").alias("sketch")), "sketches")
+    rows = common.materialise(docs.dropDuplicates(["node"]).select("node", F.posexplode("bands").alias("band", "key")), "band-keys")
+    n_rows, tried, links, found, worked, turn = rows.count(), [], [], None, float("inf"), 0
+    while True:
+        label = rows.withColumn("label", F.col("node")) if found is None else rows.join(found, "node", "left").select("node", "band", "key", F.coalesce("component", "node").alias("label"))
+        sizes = label.groupBy("band", "key", "label").agg(F.count("*").cast("double").alias("n")).groupBy("band", "key").agg(((F.sum("n") ** 2 - F.sum(F.col("n") ** 2)) / 2).alias("work"))
+        mixed = common.materialise(sizes.where("work > 0"), "open-keys")
+        work = mixed.agg(F.sum("work")).first()[0] or 0
+        last, worked = work <= n_rows or work > 0.9 * worked, work
+        left = common.materialise(label.join(mixed.select("band", "key"), ["band", "key"]), "open-rows")
+        if last:
+            other = left.select("band", "key", F.col("node").alias("other"), F.col("label").alias("theirs"))
+        else:
+            head = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "label"))
+            other = left.groupBy("band", "key").agg(head.alias("head")).select("band", "key", F.col("head.node").alias("other"), F.col("head.label").alias("theirs"))
+        pairs = left.join(other, ["band", "key"]).where("label < theirs" if last else "label <> theirs").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+        for before in tried:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        tried.append(common.materialise(pairs, "pairs"))
+        links.append(_verified(tried[-1], sketches, texts, least))
+        every = links[0]
+        for more in links[1:]:
+            every = every.unionByName(more)
+        found = components(every)
+        if last:
+            break
+        turn += 1
+    return docs.select("doc_id", "node").join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """One row of df for each group of near copies, the one with the smallest doc_id; columns as they were.
+
+    Null ids come last, so a group keeps a row without an id only if none of
+    its rows has one. Null, empty and blank texts are one group.
+    """
+    found = common.materialise(groups(df, id_col, text_col, least), "near-copies")
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node")).alias("best"))
+    heads = best.select(F.col("best.doc_id").alias("__id"), F.col("best.node").alias("__head"))
+    marked = df.withColumn("__node", _node(text_col))
+    same = lambda other: marked[id_col].eqNullSafe(other["__id"]) & (marked["__node"] == other["__head"])
+    repeated = found.groupBy(F.col("doc_id").alias("__id"), F.col("node").alias("__head")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    if not repeated.head(1):
+        return marked.join(heads, same(heads), "left_semi").select(*df.columns)
+    repeated = common.materialise(repeated, "repeated-rows")
+    kept = marked.join(heads, same(heads), "left_semi")
+    again = kept[id_col].eqNullSafe(repeated["__id"]) & (kept["__node"] == repeated["__head"])
+    once = kept.join(repeated, again, "left_anti")
+    several = kept.join(repeated, again, "left_semi").dropDuplicates([id_col, "__node"])
+    return once.unionByName(several).select(*df.columns)
