@@ -23,6 +23,9 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 SCALE = 10**12
+#: Up to so many ruled pages on a side a seed's share is in whole millionths, as in the SQL; over it ranks are in parts of FINE.
+MILLION = 10**6
+FINE = 10**16
 #: Per cent of a rank that goes on along links; the rest returns to the seeds.
 DAMPING = 85
 ROUNDS = 10
@@ -57,16 +60,20 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return target.where("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def _propagate(seeds: DataFrame, edges: DataFrame, rounds: int, damping: int, label: str) -> DataFrame:
-    """(host, rank): personalised PageRank from seeds (host, weight), in parts of SCALE.
+def _total(seeds: DataFrame) -> int:
+    return seeds.agg(F.sum("weight")).first()[0] or 1
+
+
+def _propagate(seeds: DataFrame, total: int, scale: int, edges: DataFrame, rounds: int, damping: int, label: str) -> DataFrame:
+    """(host, rank): personalised PageRank from seeds (host, weight; total in all), in parts of scale.
 
     A host's rank is divided over its out-links by their counts; hosts without
-    links pass nothing on. Restarts are each seed's share of SCALE.
+    links pass nothing on. Restarts are each seed's share of scale, one part at least.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("out"))
     shares = edges.join(out, "src").select("src", "dst", "n", "out")
-    total = seeds.agg(F.sum("weight")).first()[0] or 1
-    start = seeds.selectExpr("host", f"weight * {SCALE // 10**6} div {total} * {10**6} AS restart").where("restart > 0")
+    share = f"weight * {SCALE // 10**6} div {total} * {10**6}" if scale == SCALE else f"CAST(weight AS DECIMAL(19,0)) * {scale} div {total}"
+    start = seeds.selectExpr("host", f"greatest({share}, 1) AS restart")
     rank = start.selectExpr("host", "restart AS rank")
     for i in range(rounds):
         moved = shares.join(rank, shares["src"] == rank["host"]).selectExpr("dst AS host", f"rank * {damping} div 100 div out * n AS rank")
@@ -86,7 +93,8 @@ def judge_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     fit no rule and are allowed. Repeated rows are each judged and weigh as
     often as they occur, a null html has no links, an empty table gives an
     empty result, other columns are ignored. trust and distrust are null for
-    hosts that nothing reaches.
+    hosts that nothing reaches, and in whole parts of SCALE; verdicts go by
+    finer parts where a side has over MILLION ruled pages.
     """
     rule, verdict = _ruled(rules)
     pages = common.picked(df, page_id=id_col, url=url_col, html=html_col).withColumns(_split("url"))
@@ -95,13 +103,15 @@ def judge_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     edges = common.materialise(host_edges(pages), "host-edges")
     good = hosts.where("good > 0 AND host <> ''").selectExpr("host", "good AS weight")
     bad = hosts.where("bad > 0 AND host <> ''").selectExpr("host", "bad AS weight")
-    trust = _propagate(good, edges, rounds, damping, "trust")
+    totals = _total(good), _total(bad)
+    scale = SCALE if max(totals) <= MILLION else FINE
+    trust = _propagate(good, totals[0], scale, edges, rounds, damping, "trust")
     back = edges.selectExpr("dst AS src", "src AS dst", "n")
-    distrust = _propagate(bad, back, rounds, damping, "distrust")
+    distrust = _propagate(bad, totals[1], scale, back, rounds, damping, "distrust")
     scores = trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host", "full")
     method = F.when((F.coalesce("distrust", F.lit(0)) > 0) & (F.col("distrust") * 100 > F.coalesce("trust", F.lit(0)) * threshold), F.lit("block")).otherwise(F.lit("allow"))
     kept = judged.drop("html", "url").join(scores, "host", "left")
-    return kept.select("page_id", "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"), "trust", "distrust")
+    return kept.select("page_id", "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"), *(F.expr(f"{c} div {scale // SCALE} AS {c}") for c in ("trust", "distrust")))
 
 
 def _oracle() -> str:

@@ -114,6 +114,16 @@ def test_urls(spark):
     assert url_rank.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_urls_of_rare_hosts_among_millions(spark):
+    """A host with one blocked page of 1.2 million is a seed like any other, as it is in a small table."""
+    for n in (10, 1_200_000):
+        many = spark.range(n).selectExpr("id AS page_id", "'http://big.net/es/' AS url", "CAST(NULL AS STRING) AS html")
+        few = spark.createDataFrame([(-1, "http://rare.net/es/1", ""), (-2, "http://rare.net/other", ""), (-3, "http://friend.org/", '<a href="http://rare.net/es/1">x</a>')], many.schema)
+        got = {r.page_id: (r.verdict, r.distrust) for r in url_rank.judge_urls(many.unionByName(few)).where("page_id < 0").collect()}
+        assert {v for v, _ in got.values()} == {"block"}
+        assert got[-2][1] == pytest.approx(0.15 * url_rank.SCALE / (n + 1), rel=0.01)
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, None, None, "c"), (2, "u", "", "c"), (2, "u", "", "c"), (None, "u", "<p>" * 3000 + "x", "c"), (3, "u", "<article><p>A b &amp; c d.</p><p>E f\n g h i j.</p></article><footer>&copy; z</footer>", "c")], "page_id long, url string, html string, text string")
     got = html_crf.main_text(pages)
