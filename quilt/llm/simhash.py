@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from quilt.llm import common
 from quilt.llm.components import components
+from quilt.llm.minhash import one_of_each  # noqa: F401  (the stage's near-dedup, under its former name)
 
 SHINGLE = 4
 SEED = 42
@@ -299,27 +300,3 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = prints.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     named = named.select("fp", F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"))
     return docs.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(df: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, id_col: str = "doc_id") -> DataFrame:
-    """The rows of df whose doc_id is their group's smallest, columns as they were.
-
-    Rows that share that doc_id, and rows without an id that make up a group
-    of their own, leave one row each.
-    """
-    found = near_duplicates(df, id_col=id_col, distance=distance, shingle=shingle)
-    heads = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__head")).distinct()
-    kept = df.join(heads, df[id_col] == heads["__head"], "left_semi")
-    repeated = df.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(F.col(id_col).alias("__id"))
-    if not repeated.head(1):
-        return kept
-    once = kept.join(repeated, kept[id_col] == repeated["__id"], "left_anti")
-    several = kept.join(repeated, kept[id_col] == repeated["__id"], "left_semi").dropDuplicates([id_col])
-    unnamed = found.where("doc_id IS NULL AND component_id IS NULL").select("fingerprint").distinct()
-    orphans = df.where(F.col(id_col).isNull())
-    texts = orphans.join(
-        fingerprints(orphans.select(F.xxhash64("text").alias("doc_id"), "text"), shingle=shingle).select(F.col("doc_id").alias("__h"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("__f")).join(unnamed, F.col("__f") == F.col("fingerprint")).dropDuplicates(["__f"]),
-        F.xxhash64("text") == F.col("__h"),
-        "left_semi",
-    ).dropDuplicates(["text"])
-    return once.unionByName(several).unionByName(texts)

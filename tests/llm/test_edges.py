@@ -45,6 +45,16 @@ def test_near_duplicates(docs, none):
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == sorted((i is None, i) for i in (-7, 2, None, 3, 5))
 
 
+def test_rows_without_id_in_near_dedup(spark):
+    """A single null id is kept where nothing resembles it, whether or not ids repeat; unnamed near copies leave one row."""
+    words = [f"w{i}" for i in range(200)]
+    rows = [(1, "one two three four five six"), (None, " ".join(words)), (2, "quite another text of some words")]
+    near = [(None, " ".join([*words[:199], last])) for last in "xy"]
+    for extra, ids in (([], [1, 2, None]), ([rows[0]], [1, 2, None]), (near, [1, 2, None]), ([(7, near[0][1])], [1, 2, 7])):
+        kept = simhash.one_of_each(spark.createDataFrame(rows + extra, "doc_id long, text string"))
+        assert sorted((r.doc_id for r in kept.collect()), key=lambda i: (i is None, i)) == ids
+
+
 def test_token_files(spark, docs, none, tmp_path):
     path = catalogue.tokenizer_path()
     for df, n in ((docs, len(ROWS)), (none, 0)):
