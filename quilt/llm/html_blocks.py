@@ -160,7 +160,7 @@ def text_features(block: Block, index: int, total: int, before: Block | None) ->
     ]
     if text[-1] in ".!?…。！？":
         out.append("ends")
-    if _CHROME.search(text[:400]):
+    if _CHROME.search(text):
         out.append("chrome-short" if words < 25 else "chrome-long")
     if words < 20 and _BYLINE.search(text):
         out.append("byline")

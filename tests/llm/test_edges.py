@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quilt.llm import catalogue, decontam, html_crf, line_dedup, mixing, quality, secret_scan, simhash, token_count, tokenfile, url_rank
+from quilt.llm import catalogue, decontam, html_blocks, html_crf, line_dedup, mixing, quality, secret_scan, simhash, token_count, tokenfile, url_rank
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, size string, fp string, kept string, spans string, d string, hash string"
 LONG = " ".join(f"w{i % 977}" for i in range(60_000))
@@ -140,3 +140,8 @@ def test_pages(spark):
     assert got.count() == 5 and html_crf.main_text(pages.limit(0)).count() == 0
     assert got.where("page_id = 3").first().text == "A b & c d.\nE f g h i j."
     assert [r.text for r in got.where("page_id < 3").collect()] == ["", "", ""]
+
+
+def test_chrome_phrase_late_in_a_long_block():
+    block = html_blocks.Block("word " * 200 + "all rights reserved.", (), 0)
+    assert "chrome-long" in html_blocks.text_features(block, 0, 1, None)
