@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MIN, MAX = -(1 << 63), (1 << 63) - 1
+#: 2^64, which no long holds.
+_TWO_64 = Decimal(1 << 64)
 
 
 def checked_add(a: Column, b: Column) -> Column:
@@ -43,6 +47,49 @@ def clz(a: Column) -> Column:
     return F.when(a < 0, 0).when(a == 0, 64).otherwise(64 - F.length(F.bin(a)))
 
 
+def clz32(a: Column) -> Column:
+    """Leading zeros of the low 32 bits."""
+    low = a.bitwiseAND(0xFFFFFFFF)
+    return F.when(low == 0, 32).otherwise(32 - F.length(F.bin(low)))
+
+
+def bswap64(a: Column) -> Column:
+    swapped = F.lit(0).cast("long")
+    for k in range(8):
+        swapped = swapped.bitwiseOR(F.shiftleft(F.shiftrightunsigned(a, 8 * k).bitwiseAND(0xFF), 56 - 8 * k))
+    return swapped
+
+
+def ffs32(a: Column) -> Column:
+    return ffs(a.bitwiseAND(0xFFFFFFFF))
+
+
+def ffs128(high: Column, low: Column) -> Column:
+    """Of a number given as two longs."""
+    return F.when(low != 0, ffs(low)).when(high != 0, 64 + ffs(high)).otherwise(0)
+
+
+def _unsigned(a: Column) -> Column:
+    whole = a.cast("decimal(20,0)")
+    return F.when(a < 0, whole + _TWO_64).otherwise(whole)
+
+
+def _signed(a: Column) -> Column:
+    """The long with the bits of an unsigned number."""
+    return F.when(a > MAX, a - _TWO_64).otherwise(a).cast("long")
+
+
+def umod(a: Column, b: Column) -> Column:
+    """Remainder of longs as unsigned numbers; null by zero."""
+    return _signed((_unsigned(a) % F.when(b != 0, _unsigned(b))).cast("decimal(21,0)"))
+
+
+def udiv(a: Column, b: Column) -> Column:
+    """Quotient of longs as unsigned numbers; null by zero."""
+    x, y = _unsigned(a), F.when(b != 0, _unsigned(b))
+    return _signed(((x - x % y) / y).cast("decimal(21,0)"))
+
+
 def ctz(a: Column) -> Column:
     return F.bit_count(a.bitwiseAND(F.negative(a)) - 1)
 
@@ -110,6 +157,41 @@ def complex_mul(a: Column, b: Column, c: Column, d: Column) -> tuple[Column, Col
     return a * c - b * d, a * d + b * c
 
 
+def complex_mul_inf(a: Column, b: Column, c: Column, d: Column) -> tuple[Column, Column]:
+    """The product of doubles where parts may be infinite: an infinite factor times one that isn't 0 is infinite, not NaN."""
+    inf, nan = F.lit(float("inf")), F.lit(float("nan"))
+    is_inf = lambda x: F.abs(x) == inf
+    sign = lambda x: F.when((x < 0) | (x.cast("string") == "-0.0"), -1.0).otherwise(1.0)
+    ac, bd, ad, bc = a * c, b * d, a * d, b * c
+    re, im = ac - bd, ad + bc
+    left, right = is_inf(a) | is_inf(b), is_inf(c) | is_inf(d)
+    products = is_inf(ac) | is_inf(bd) | is_inf(ad) | is_inf(bc)
+    unit = lambda x: sign(x) * F.when(is_inf(x), 1.0).otherwise(0.0)
+    zero = lambda x, other: F.when(F.isnan(x) & other, sign(x) * 0.0).otherwise(x)
+    a2, b2 = (F.when(left, unit(x)).otherwise(zero(x, right | products)) for x in (a, b))
+    c2, d2 = (F.when(right, unit(x)).otherwise(zero(x, left | products)) for x in (c, d))
+    again = F.isnan(re) & F.isnan(im) & (left | right | products)
+    times = lambda x: F.when(x > 0, inf).when(x < 0, -inf).otherwise(nan)
+    return F.when(again, times(a2 * c2 - b2 * d2)).otherwise(re), F.when(again, times(a2 * d2 + b2 * c2)).otherwise(im)
+
+
+def extend_half(h: Column) -> Column:
+    """Double of a half float's 16 bits."""
+    e, m = F.shiftright(h, 10).bitwiseAND(31), h.bitwiseAND(1023).cast("double")
+    size = F.when(e == 0, m * 2.0**-24).when((e == 31) & (m == 0), F.lit(float("inf"))).when(e == 31, F.lit(float("nan"))).otherwise((1 + m / 1024) * F.pow(F.lit(2.0), (e - 15).cast("double")))
+    return F.when(h.bitwiseAND(0x8000) != 0, -size).otherwise(size)
+
+
+def trunc_half(x: Column) -> Column:
+    """The 16 bits of the nearest half float, ties to even."""
+    size = F.abs(x)
+    guess = F.floor(F.log2(F.when((size > 0) & (size < 65520), size))).cast("double")
+    e = F.when(size < F.pow(F.lit(2.0), guess), guess - 1).when(size >= F.pow(F.lit(2.0), guess + 1), guess + 1).otherwise(guess)
+    normal = (e + 15) * 1024 + F.rint((size / F.pow(F.lit(2.0), e) - 1) * 1024)
+    bits = F.when(F.isnan(x), F.lit(0x7E00)).when(size >= 65520, F.lit(0x7C00)).when(size < 2.0**-14, F.rint(size * 2.0**24)).otherwise(normal).cast("long")
+    return F.when((x < 0) | (x.cast("string") == "-0.0"), bits + 0x8000).otherwise(bits)
+
+
 def align(x: str, to: int) -> Column:
     return F.expr(f"({x} + {to - 1}) div {to} * {to}")
 

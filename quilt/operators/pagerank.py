@@ -12,20 +12,69 @@ from quilt.operators.store import cut
 DAMPING = 0.85
 ITERATIONS = 50
 CUT_EVERY = 10
+#: Nodes and edges together, as counted, up to which all rounds run in one task (some 100 MB).
+SMALL = 2_000_000
+#: Edges of one source that stand under one key.
+HUB = 1_000_000
 
 
-def propagate(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float = DAMPING, start: DataFrame | None = None) -> DataFrame:
+def propagate(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float = DAMPING, small: int = SMALL) -> DataFrame:
     """(n, r) after rounds of r(n) = (1 - d) * base(n) + d * sum over edges of r(src) * w.
 
-    nodes: (n, base); edges: (src, dst, w), parallel edges already summed.
+    nodes: (n, base); edges: (src, dst, w), parallel edges already summed. Up
+    to ``small`` measured rows all rounds run in one task; beyond that edges
+    are dealt by source once and only ranks are shuffled (see _dealt).
     """
-    now = start if start is not None else nodes.select("n", F.col("base").alias("r"))
+    if nodes.count() + edges.count() <= small:
+
+        def kernel(own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+            ids, order = own["n"].to_numpy(), np.argsort(own["n"].to_numpy())
+            at = lambda column: order[np.searchsorted(ids, links[column].to_numpy(), sorter=order)]
+            base, s, d, w = own["base"].to_numpy(), at("src"), at("dst"), links["w"].to_numpy()
+            rank = base
+            for _ in range(rounds):
+                rank = (1 - damping) * base + damping * np.bincount(d, weights=rank[s] * w, minlength=len(base))
+            return pd.DataFrame({"n": ids, "r": rank})
+
+        return _in_one_task(nodes.select("n", "base"), edges.select("src", "dst", "w"), "n long, r double", kernel)
+    dealt, fans = _dealt(edges)
+    nodes = nodes.join(fans, "n", "left").withColumn("fan", F.coalesce("fan", F.lit(1))).select("n", "base", "fan").persist()
+    now = nodes.select("n", "fan", F.col("base").alias("r"))
     for i in range(rounds):
-        sums = edges.join(now, edges["src"] == now["n"]).groupBy("dst").agg(F.sum(F.col("r") * F.col("w")).alias("s"))
-        now = nodes.join(sums, nodes["n"] == sums["dst"], "left").select("n", ((1 - damping) * F.col("base") + damping * F.coalesce("s", F.lit(0.0))).alias("r"))
+        sums = _moved(dealt, now).groupBy("dst").agg(F.sum(F.col("r") * F.col("w")).alias("s"))
+        now = nodes.join(sums, nodes["n"] == sums["dst"], "left").select("n", "fan", ((1 - damping) * F.col("base") + damping * F.coalesce("s", F.lit(0.0))).alias("r"))
         if (i + 1) % CUT_EVERY == 0 and i + 1 < rounds:
             now = cut(now, "ranks")
-    return now
+    return now.select("n", "r")
+
+
+def _in_one_task(nodes: DataFrame, edges: DataFrame, schema: str, kernel) -> DataFrame:
+    """Both tables, of a measured size, brought together in one task."""
+    one = F.lit(0).alias("one")
+    columns, links = nodes.columns, edges.columns
+    grouped = nodes.select(one, *columns).groupBy("one").cogroup(edges.select(one, *links).groupBy("one"))
+    return grouped.applyInPandas(lambda own, found: kernel(own[columns], found[links]), schema)
+
+
+def _dealt(edges: DataFrame, hub: int = HUB) -> tuple[DataFrame, DataFrame]:
+    """Edges dealt by source once, for all rounds, and (n, fan) of hubs.
+
+    A source with more than ``hub`` edges is dealt over fan keys by its
+    destinations, so no task holds a hub's edges alone; ranks of hubs are
+    repeated for each key. What is kept in memory or on an executor's disk is
+    made anew from the written edges if the executor is lost.
+    """
+    fans = edges.groupBy(F.col("src").alias("n")).agg(F.ceil(F.count("*") / hub).cast("int").alias("fan")).where("fan > 1")
+    fans = cut(fans, "hubs")
+    salted = edges.join(fans, edges["src"] == fans["n"], "left").withColumn("salt", F.pmod(F.xxhash64("dst"), F.coalesce("fan", F.lit(1))).cast("int"))
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return salted.select("src", "salt", *[c for c in edges.columns if c != "src"]).repartition(parts, "src", "salt").persist(), fans
+
+
+def _moved(dealt: DataFrame, now: DataFrame) -> DataFrame:
+    """Edges with the rank r of their source; only ranks are shuffled, to where the edges are."""
+    there = now.select(F.col("n").alias("at"), "r", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("key"))
+    return dealt.join(there, (dealt["src"] == there["at"]) & (dealt["salt"] == there["key"]))
 
 
 def weighted(edges: DataFrame) -> DataFrame:
@@ -34,13 +83,15 @@ def weighted(edges: DataFrame) -> DataFrame:
     return counts.withColumn("w", F.col("k") / F.sum("k").over(Window.partitionBy("src"))).select("src", "dst", "w")
 
 
-def flat(edges: DataFrame, nodes: DataFrame, rounds: int = ITERATIONS) -> DataFrame:
+def flat(edges: DataFrame, nodes: DataFrame, rounds: int = ITERATIONS, small: int = SMALL) -> DataFrame:
     n = nodes.count()
-    return propagate(nodes.select("n", F.lit(1.0 / max(n, 1)).alias("base")), cut(weighted(edges), "edges"), rounds)
+    return propagate(nodes.select("n", F.lit(1.0 / max(n, 1)).alias("base")), cut(weighted(edges), "edges"), rounds, small=small)
 
 
-def with_subgraphs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(src, dst, ssg, dsg)."""
+def with_subgraphs(edges: DataFrame, nodes: DataFrame, width: int | None = None) -> DataFrame:
+    """(src, dst, ssg, dsg); width: subgraphs are ranges of so many ids, so no join is needed."""
+    if width:
+        return edges.selectExpr("src", "dst", f"src div {width} AS ssg", f"dst div {width} AS dsg")
     s = nodes.select(F.col("n").alias("src"), F.col("sg").alias("ssg"))
     d = nodes.select(F.col("n").alias("dst"), F.col("sg").alias("dsg"))
     return edges.join(s, "src").join(d, "dst").select("src", "dst", "ssg", "dsg")
@@ -52,27 +103,42 @@ def quotient(placed: DataFrame) -> DataFrame:
     return k.withColumn("ice", F.sum("k").over(Window.partitionBy("ssg")))
 
 
-def server(placed: DataFrame, nodes: DataFrame, rounds: int = ITERATIONS) -> DataFrame:
+def server(placed: DataFrame, nodes: DataFrame, rounds: int = ITERATIONS, small: int = SMALL) -> DataFrame:
     """(sg, srv): PageRank of the subgraphs."""
     parts = nodes.select(F.col("sg").alias("n")).distinct()
     s = parts.count()
     q = cut(quotient(placed).select(F.col("ssg").alias("src"), F.col("dsg").alias("dst"), (F.col("k") / F.col("ice")).alias("w")), "quotient")
-    return propagate(cut(parts.select("n", F.lit(1.0 / max(s, 1)).alias("base")), "parts"), q, rounds).select(F.col("n").alias("sg"), F.col("r").alias("srv"))
+    return propagate(cut(parts.select("n", F.lit(1.0 / max(s, 1)).alias("base")), "parts"), q, rounds, small=small).select(F.col("n").alias("sg"), F.col("r").alias("srv"))
 
 
-def server_int(placed: DataFrame, nodes: DataFrame, scale: int, rounds: int = ITERATIONS) -> DataFrame:
+def server_int(placed: DataFrame, nodes: DataFrame, scale: int, rounds: int = ITERATIONS, small: int = SMALL) -> DataFrame:
     """(sg, srv): the same in whole numbers, every division truncating."""
     parts = cut(nodes.select("sg").distinct(), "parts")
     s = max(parts.count(), 1)
     damp = scale * 85 // 100
     q = cut(quotient(placed), "quotient")
-    now = parts.select("sg", F.lit(scale // s).alias("srv"))
+    if s + q.count() <= small:
+
+        def kernel(own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+            ids = np.sort(own["sg"].to_numpy())
+            a, b = np.searchsorted(ids, links["ssg"].to_numpy()), np.searchsorted(ids, links["dsg"].to_numpy())
+            k, ice, rank = links["k"].to_numpy(), links["ice"].to_numpy(), np.full(len(ids), scale // s, dtype=np.int64)
+            for _ in range(rounds):
+                moved = np.zeros(len(ids), dtype=np.int64)
+                np.add.at(moved, b, k * (rank[a] // ice))
+                rank = (scale - damp) // s + damp * moved // scale
+            return pd.DataFrame({"sg": ids, "srv": rank})
+
+        return _in_one_task(parts, q, "sg long, srv long", kernel)
+    dealt, fans = _dealt(q.withColumnsRenamed({"ssg": "src", "dsg": "dst"}))
+    parts = parts.join(fans, parts["sg"] == fans["n"], "left").select("sg", F.coalesce("fan", F.lit(1)).alias("fan")).persist()
+    now = parts.select(F.col("sg").alias("n"), "fan", F.lit(scale // s).cast("long").alias("r"))
     for i in range(rounds):
-        moved = q.join(now, q["ssg"] == now["sg"]).groupBy("dsg").agg(F.sum(F.expr("k * (srv div ice)")).alias("s"))
-        now = parts.join(moved, parts["sg"] == moved["dsg"], "left").selectExpr("sg", f"{(scale - damp) // s} + ({damp} * coalesce(s, 0)) div {scale} AS srv")
+        moved = _moved(dealt, now).groupBy("dst").agg(F.sum(F.expr("k * (r div ice)")).alias("s"))
+        now = parts.join(moved, parts["sg"] == moved["dst"], "left").selectExpr("sg AS n", "fan", f"{(scale - damp) // s} + ({damp} * coalesce(s, 0)) div {scale} AS r")
         if (i + 1) % CUT_EVERY == 0 and i + 1 < rounds:
             now = cut(now, "ranks")
-    return now
+    return now.select(F.col("n").alias("sg"), F.col("r").alias("srv"))
 
 
 def refinement(placed: DataFrame, srv: DataFrame) -> DataFrame:
@@ -126,9 +192,9 @@ def normalised(ranks: DataFrame) -> DataFrame:
     return ranks.withColumn("r", F.col("r") / F.sum("r").over(Window.partitionBy("sg")))
 
 
-def hierarchical(edges: DataFrame, nodes: DataFrame, rounds: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
+def hierarchical(edges: DataFrame, nodes: DataFrame, rounds: int = ITERATIONS, damping: float = DAMPING, width: int | None = None) -> DataFrame:
     """(n, sg, r): local ranks, refined by cross edges, normalised, one more round, times the subgraph's rank."""
-    placed = cut(with_subgraphs(edges, nodes), "placed")
+    placed = cut(with_subgraphs(edges, nodes, width), "placed")
     srv = cut(server(placed, nodes, rounds), "server")
     refined = nodes.join(refinement(placed, srv), "n", "left").select("n", "sg", F.coalesce("ref", F.lit(0.0)).alias("ref"))
 
@@ -147,8 +213,8 @@ def boundary_nodes(placed: DataFrame) -> DataFrame:
     return cross.select(F.col("src").alias("n"), F.col("ssg").alias("sg")).union(cross.select("dst", "dsg")).distinct()
 
 
-def global_boundary(placed: DataFrame, rounds: int = ITERATIONS, tolerance: float = 5.96e-8, damping: float = DAMPING) -> DataFrame:
-    """(n, r): PageRank among boundary nodes, shares by their subgraph's cross edges; stops when ranks settle.
+def global_boundary(placed: DataFrame, rounds: int = ITERATIONS, tolerance: float = 5.96e-8, damping: float = DAMPING, small: int = SMALL) -> DataFrame:
+    """(n, r): PageRank among boundary nodes, shares by their cross edges; stops when ranks settle.
 
     A node's movable rank is its rank less its start, spread over its cross
     edges; settling is measured against the last and the last but one round.
@@ -156,16 +222,30 @@ def global_boundary(placed: DataFrame, rounds: int = ITERATIONS, tolerance: floa
     icn = cut(boundary_nodes(placed), "boundary")
     total = max(icn.count(), 1)
     init = (1 - damping) / total
-    cross = placed.where("ssg <> dsg")
-    edges = cut(weighted(cross.select("src", "dst")), "edges")
-    now = cut(icn.select("n", F.lit(1.0 / total).alias("r")), "ranks")
-    earlier = None
+    edges = cut(weighted(placed.where("ssg <> dsg").select("src", "dst")), "edges")
+    if total + edges.count() <= small:
+
+        def kernel(own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+            ids = np.sort(own["n"].to_numpy())
+            a, b, w = np.searchsorted(ids, links["src"].to_numpy()), np.searchsorted(ids, links["dst"].to_numpy()), links["w"].to_numpy()
+            now, earlier = np.full(len(ids), 1.0 / total), None
+            for _ in range(rounds):
+                after = init + np.bincount(b, weights=(now[a] - init) * w, minlength=len(ids))
+                gaps = [np.abs(after - old).sum() for old in (now, earlier) if old is not None]
+                earlier, now = now, after
+                if min(gaps) <= tolerance:
+                    break
+            return pd.DataFrame({"n": ids, "r": now})
+
+        return _in_one_task(icn.select("n"), edges, "n long, r double", kernel)
+    dealt, fans = _dealt(edges)
+    icn = icn.join(fans, "n", "left").select("n", F.coalesce("fan", F.lit(1)).alias("fan")).persist()
+    now = cut(icn.select("n", "fan", F.lit(1.0 / total).alias("r"), F.lit(None).cast("double").alias("before"), F.lit(None).cast("double").alias("earlier")), "ranks")
     for _ in range(rounds):
-        moved = edges.join(now, edges["src"] == now["n"]).groupBy("dst").agg(F.sum((F.col("r") - init) * F.col("w")).alias("s"))
-        after = cut(icn.join(moved, icn["n"] == moved["dst"], "left").select("n", (F.lit(init) + F.coalesce("s", F.lit(0.0))).alias("r")), "ranks")
-        olds = [now] + ([earlier] if earlier is not None else [])
-        gaps = [after.join(o.withColumnRenamed("r", "o"), "n").agg(F.sum(F.abs(F.col("r") - F.col("o")))).first()[0] or 0.0 for o in olds]
-        earlier, now = now, after
-        if min(gaps) <= tolerance:
+        moved = _moved(dealt, now).groupBy("dst").agg(F.sum((F.col("r") - init) * F.col("w")).alias("s"))
+        after = now.join(moved, now["n"] == moved["dst"], "left").select("n", "fan", (F.lit(init) + F.coalesce("s", F.lit(0.0))).alias("r"), F.col("r").alias("before"), F.col("before").alias("earlier"))
+        now = cut(after, "ranks")
+        gaps = [x for x in now.agg(F.sum(F.abs(F.col("r") - F.col("before"))), F.sum(F.abs(F.col("r") - F.col("earlier")))).first() if x is not None]
+        if min(gaps, default=0.0) <= tolerance:
             break
-    return now
+    return now.select("n", "r")

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quilt.operators.store import cut
+
+#: Row ids whose counts one task sums up.
+CHUNK = 1 << 16
+
 
 def extent(m: DataFrame) -> tuple[int, int]:
     """Number of rows and columns, ids counted from 0; an empty matrix has none."""
@@ -22,11 +27,24 @@ def vertical(m: DataFrame, width: int) -> DataFrame:
     return m.selectExpr("*", f"col div {width} AS vert", f"col % {width} AS local_col")
 
 
+def running(counts: DataFrame, tile: str, row: str, value: str = "nnz") -> DataFrame:
+    """counts with ``ends``, the inclusive running sum of value along row inside each tile.
+
+    Summed in runs of CHUNK row ids and over the runs' totals, so a tile of any height is spread over tasks.
+    """
+    placed = counts.withColumn("__chunk", F.expr(f"`{row}` div {CHUNK}"))
+    totals = placed.groupBy(tile, "__chunk").agg(F.sum(value).alias("__total"))
+    before = Window.partitionBy(tile).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(F.col(tile).alias("__tile"), F.col("__chunk").alias("__at"), F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__base"))
+    inside = F.sum(value).over(Window.partitionBy(tile, "__chunk").orderBy(row).rowsBetween(Window.unboundedPreceding, 0))
+    joined = placed.withColumn("__inside", inside).join(totals, (F.col(tile) == F.col("__tile")) & (F.col("__chunk") == F.col("__at")))
+    return joined.select(*counts.columns, (F.col("__base") + F.col("__inside")).alias("ends"))
+
+
 def row_pointers(m: DataFrame, tile: str, row: str) -> DataFrame:
     """Per tile and row that holds anything: nnz and its exclusive and inclusive prefix sums."""
     counts = m.groupBy(tile, row).agg(F.count("*").alias("nnz"))
-    upto = Window.partitionBy(tile).orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumn("ends", F.sum("nnz").over(upto)).withColumn("starts", F.col("ends") - F.col("nnz"))
+    return running(counts, tile, row).withColumn("starts", F.col("ends") - F.col("nnz"))
 
 
 def nnz_splits(counts: DataFrame, parts: int, granularity: int = 1) -> DataFrame:
@@ -35,20 +53,22 @@ def nnz_splits(counts: DataFrame, parts: int, granularity: int = 1) -> DataFrame
     counts: (tile, row, nnz). The sum starts again at 0 after a cut; cuts
     stand only behind rows whose next id is a multiple of granularity; rows
     after the last cut go to the last block, and blocks beyond it are absent.
-    One tile's row counts are ordered in one task: they are as many as the
-    tile has rows, which the tile height bounds.
+    Each cut is one aggregation over the running sums, which are written once;
+    the state carried along is a row a tile.
     """
-    rows = counts.groupBy("tile").agg(F.array_sort(F.collect_list(F.struct("row", "nnz"))).alias("rows"), F.sum("nnz").alias("total"))
-    start = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).alias("block"), F.expr("array_repeat(0, 0)").alias("blocks"))
-
-    def step(acc, x):
-        held = acc["held"] + x["nnz"]
-        cut = (held >= F.floor(F.col("total") / parts)) & (acc["block"] < parts - 1) & ((x["row"] + 1) % granularity == 0)
-        return F.struct(F.when(cut, 0).otherwise(held).cast("long").alias("held"), (acc["block"] + cut.cast("int")).alias("block"), F.concat(acc["blocks"], F.array(acc["block"])).alias("blocks"))
-
-    dealt = rows.select("tile", F.arrays_zip(F.col("rows"), F.aggregate("rows", start, step)["blocks"].alias("block")).alias("z"))
-    each = dealt.select("tile", F.explode("z").alias("z")).select("tile", F.col("z.rows.row").alias("row"), F.col("z.rows.nnz").alias("nnz"), F.col("z").getField("block").alias("block"))
-    return each.groupBy("tile", "block").agg(F.min("row").alias("row_lo"), F.max("row").alias("row_hi"), F.sum("nnz").alias("nnz"))
+    ends = cut(running(counts, "tile", "row"), "row-sums")
+    state = ends.groupBy("tile").agg(F.max("ends").alias("total")).select("tile", F.expr(f"total div {parts}").alias("limit"), F.expr("CAST(0 AS BIGINT)").alias("upto"), F.expr("CAST(array() AS ARRAY<BIGINT>)").alias("cuts"))
+    state = cut(state, "cuts")
+    allowed = ends.where((F.col("row") + 1) % granularity == 0).select(F.col("tile").alias("t"), "row", "ends")
+    for _ in range(parts - 1):
+        found = allowed.join(state.select("tile", "limit", "upto", "cuts"), F.col("t") == F.col("tile")).where("ends - upto >= limit AND row > coalesce(try_element_at(cuts, -1), -1)")
+        nearest = found.groupBy(F.col("tile").alias("t")).agg(F.min(F.struct("row", "ends")).alias("cut"))
+        after = state.join(nearest, F.col("tile") == F.col("t"), "left")
+        # Written, so its size is known: it's broadcast while it is small, and shuffled beyond that.
+        state = cut(after.select("tile", "limit", F.coalesce("cut.ends", "upto").alias("upto"), F.when(F.col("cut").isNull(), F.col("cuts")).otherwise(F.array_append("cuts", F.col("cut.row"))).alias("cuts")), "cuts")
+    state = state.select("tile", "cuts")
+    block = F.size(F.filter("cuts", lambda c: c < F.col("row")))
+    return counts.join(state, "tile").groupBy("tile", block.alias("block")).agg(F.min("row").alias("row_lo"), F.max("row").alias("row_hi"), F.sum("nnz").alias("nnz"))
 
 
 def even_split(rows: DataFrame, n_rows: int, workers: int) -> DataFrame:
@@ -79,3 +99,10 @@ def differences(a: DataFrame, b: DataFrame, tolerance: float = 1e-6) -> DataFram
     both = a.select("row", F.col("y").alias("ya")).join(b.select("row", F.col("y").alias("yb")), "row", "full")
     wrong = F.coalesce(F.abs(F.col("ya") - F.col("yb")) > tolerance, F.lit(True))
     return both.agg(F.count("*").alias("n_rows"), F.count_if(wrong).alias("n_wrong"), F.sum("ya").alias("sum_a"), F.sum("yb").alias("sum_b"))
+
+
+def compared(a: DataFrame, b: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """n_missing, n_extra, n_wrong: records (row, col, val) that b lacks, that a lacks, and values further apart than tolerance."""
+    left, right = a.select("row", "col", F.col("val").alias("va")), b.select("row", "col", F.col("val").alias("vb"))
+    both = left.join(right, ["row", "col"], "full")
+    return both.agg(F.count_if(F.col("vb").isNull()).alias("n_missing"), F.count_if(F.col("va").isNull()).alias("n_extra"), F.count_if(F.abs(F.col("va") - F.col("vb")) > tolerance).alias("n_wrong"))

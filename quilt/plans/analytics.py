@@ -82,8 +82,8 @@ def global_checksum(spark, d):
 
 
 def sg_blocks_gather(spark, d):
-    """Blocks of a worker in order of their number, as one buffer, with a check of its length."""
-    blocks = A.table(spark, d, "lineitem").selectExpr("l_orderkey % 64 AS worker", "struct(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS b", "l_partkey AS block")
+    """Blocks of a worker in order of their number, as one buffer; workers are as many as orders, so buffers stay small."""
+    blocks = A.table(spark, d, "lineitem").selectExpr("l_orderkey AS worker", "struct(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS b", "l_partkey AS block")
     g = blocks.groupBy("worker").agg(F.array_sort(F.collect_list(F.struct("b", "block"))).alias("bs"))
     return g.select("worker", F.size("bs").cast("long").alias("n"), F.md5(F.concat_ws(",", F.transform("bs", lambda x: x["block"].cast("string")))).alias("digest"))
 
@@ -129,8 +129,7 @@ def reordered_columns(spark, d):
 
 
 def union_all(spark, d):
-    e = _events(spark, d).select("event_id")
-    return e.where("event_id < 100").unionByName(e.where("event_id < 50"))
+    return _events(spark, d).select("event_id", "user_id").unionByName(A.table(spark, d, "orders").selectExpr("o_orderkey AS event_id", "o_custkey AS user_id"))
 
 
 def byte_interleave(spark, d):
@@ -154,6 +153,15 @@ def fifo_fanout_reduce(spark, d):
     return fifo.fan_out(spark, d)
 
 
+def _on_demand_sql(group: int) -> str:
+    """List scheduling as a recursive CTE: the least of the workers' free times takes the next group."""
+    return f"""WITH RECURSIVE {sparse._TILED.removeprefix('WITH ')}, costs AS (SELECT p, count(*) AS cost FROM tiled GROUP BY p),
+pulls AS (SELECT k // {group} AS j, max(cost) AS c FROM (SELECT cost, row_number() OVER (ORDER BY p) - 1 AS k FROM costs) GROUP BY 1),
+go(j, free) AS (SELECT CAST(0 AS BIGINT), list_transform(range({max(1, WORKERS // group)}), lambda x: CAST(0 AS BIGINT))
+  UNION ALL SELECT go.j + 1, list_sort(list_append(free[2:], free[1] + c)) FROM go JOIN pulls ON pulls.j = go.j)
+SELECT list_max(arg_max(free, j)) AS makespan FROM go"""
+
+
 _COSTS = sparse._TILED + ", costs AS (SELECT p, count(*) AS cost FROM tiled GROUP BY p)"
 _STATES = "WITH s AS (SELECT o_orderkey AS w, CASE WHEN o_orderkey % 256 < 64 OR o_orderkey % 11 <> 0 AND o_orderkey % 8 <> 3 THEN 1 ELSE 2 END AS state FROM orders)"
 _RATIO = "WITH t AS (SELECT user_id % 2 AS side, event_type AS dataset, event_id % 7 AS parts, CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS BIGINT) AS v FROM events GROUP BY ALL), r AS (SELECT a.dataset, a.parts, round(CAST(b.v AS DOUBLE) / nullif(a.v, 0), 2) AS speedup FROM t a JOIN t b ON a.dataset = b.dataset AND a.parts = b.parts AND a.side = 0 AND b.side = 1)"
@@ -166,6 +174,9 @@ def _bitmap(bits, group, done):
 QUERIES = {f.__name__: f for f in (bsp_makespan, ondemand_makespan_dpu, ondemand_makespan_ig, ondemand_makespan_rank, ew_wave_assignment, finished_bitmap_dpu, finished_bitmap_ig, finished_bitmap_rank, done_fault, rank_members, ig_members, topology, atomic_aggs, global_checksum, sg_blocks_gather, group_mean, sort_in_chunk, slice_rows, speedup_ratio, pivot_speedup, bucket_label, reordered_columns, union_all, byte_interleave, properties, fifo_map, fifo_fanout_reduce)}
 ORACLES = {
     "bsp_makespan": f"{_COSTS} SELECT count(*) AS waves, CAST(sum(m) AS BIGINT) AS makespan FROM (SELECT max(cost) AS m FROM costs GROUP BY p // {WORKERS})",
+    "ondemand_makespan_dpu": _on_demand_sql(1),
+    "ondemand_makespan_ig": _on_demand_sql(8),
+    "ondemand_makespan_rank": _on_demand_sql(64),
     "ew_wave_assignment": f"{_COSTS} SELECT p, (p % 128) // 32 AS wave, (p % 128) % 32 + CASE WHEN p < 128 THEN 0 ELSE 32 END AS worker FROM costs",
     "finished_bitmap_dpu": _bitmap("sum(1::HUGEINT << CAST(w % 64 AS INT))", "w % 64 // 2", "bool_and(state = 1)"),
     "finished_bitmap_ig": _bitmap("any_value(1::HUGEINT << CAST(w % 8 AS INT))", "w % 8", "bool_and(state = 1)"),
@@ -176,7 +187,7 @@ ORACLES = {
     "topology": f"{_STATES} SELECT w, w % 8 AS ig, w // 8 % 8 AS ci, w // 64 AS rank FROM s",
     "atomic_aggs": "SELECT o_custkey % 50 AS g, CAST(sum(o_orderkey) AS BIGINT) AS f_add, bit_and(o_orderkey) AS f_and, bit_or(o_orderkey) AS f_or, bit_xor(o_orderkey) AS f_xor, max(o_orderkey) AS f_max, min(o_orderkey) AS f_min FROM orders GROUP BY 1",
     "global_checksum": "SELECT CAST(sum(l_quantity) AS BIGINT) AS total, count(*) FILTER (WHERE l_quantity > 25) AS n_over, min(l_quantity) AS least, max(l_quantity) AS most FROM lineitem",
-    "sg_blocks_gather": "SELECT l_orderkey % 64 AS worker, count(*) AS n, md5(string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS digest FROM lineitem GROUP BY 1",
+    "sg_blocks_gather": "SELECT l_orderkey AS worker, count(*) AS n, md5(string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS digest FROM lineitem GROUP BY 1",
     "group_mean": "SELECT event_id // 8 AS grp, round(avg(CAST(floor(value * 100) AS BIGINT)), 4) AS mean FROM events GROUP BY 1",
     "sort_in_chunk": "SELECT event_id, value, event_id // 35 * 35 + row_number() OVER (PARTITION BY event_id // 35 ORDER BY value, event_id) - 1 AS pos FROM events",
     "slice_rows": "SELECT event_id, value FROM events WHERE event_id >= 35 AND event_id < 70",
@@ -184,7 +195,7 @@ ORACLES = {
     "pivot_speedup": f"{_RATIO} SELECT dataset, " + ", ".join(f"max(speedup) FILTER (WHERE parts = {i}) AS p{i}" for i in range(7)) + " FROM r GROUP BY dataset",
     "bucket_label": "SELECT event_id, ([100, 200, 400, 600, 800, 1000])[CAST(event_id % 6 + 1 AS INT)] AS label FROM events",
     "reordered_columns": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice AS total, l_quantity AS exec, l_partkey + l_suppkey AS transfer FROM lineitem",
-    "union_all": "SELECT event_id FROM events WHERE event_id < 100 UNION ALL SELECT event_id FROM events WHERE event_id < 50",
+    "union_all": "SELECT event_id, user_id FROM events UNION ALL SELECT o_orderkey, o_custkey FROM orders",
     "byte_interleave": "SELECT event_id // 64 AS block, event_id % 64 % 8 * 8 + event_id % 64 // 8 AS i, user_id AS v FROM events",
     "properties": "SELECT p_partkey, p_size AS size, p_brand AS brand FROM part",
     "fifo_map": "SELECT event_id, user_id * 2 + 1 AS v FROM events",

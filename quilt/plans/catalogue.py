@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quilt.plans import analytics, graph, scalars, sparse
+from quilt.plans import analytics, devices, graph, scalars, sparse
 
-_GROUPS = (sparse, graph, scalars, analytics)
+_GROUPS = (sparse, graph, scalars, analytics, devices)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -11,6 +11,8 @@ from quilt.sources import adapters as A
 
 #: Scale of the fixed-point ranks: the largest whose products stay below 2^63.
 SCALE = 10**9
+#: Ids of a subgraph.
+WIDTH = 100
 _BASE = f"{A.EDGES_SQL}, {A.NODES_SQL}"
 _PLACED = f"{_BASE}, placed AS (SELECT src, dst, src // 100 AS ssg, dst // 100 AS dsg FROM edges)"
 _CROSS = f"{_PLACED}, cr AS (SELECT * FROM placed WHERE ssg <> dsg)"
@@ -24,12 +26,12 @@ def _quantised(column):
 
 def _graph(spark, d):
     edges = cut(A.edges(spark, d), "edges")
-    return edges, cut(A.nodes(edges), "nodes")
+    return edges, cut(A.nodes(edges, WIDTH), "nodes")
 
 
 def _placed(spark, d):
     edges, nodes = _graph(spark, d)
-    return P.with_subgraphs(edges, nodes), nodes
+    return P.with_subgraphs(edges, nodes, WIDTH), nodes
 
 
 def graph_edges(spark, d):
@@ -124,7 +126,7 @@ def normalise(spark, d):
 
 def hierarchical_pr(spark, d):
     edges, nodes = _graph(spark, d)
-    return P.hierarchical(edges, nodes).select("n", "sg", _quantised("r").alias("r_q"))
+    return P.hierarchical(edges, nodes, width=WIDTH).select("n", "sg", _quantised("r").alias("r_q"))
 
 
 def global_pr_icn(spark, d):
@@ -168,6 +170,15 @@ last AS (SELECT a.n, a.sg, 0.15::DOUBLE * a.base + 0.85::DOUBLE * coalesce(b.s,
 SELECT last.n, last.sg, {_Q.format('(last.r * srv.r)')} AS r_q FROM last JOIN srv ON srv.n = last.sg AND srv.it = 50"""
 _ICN = "icn AS (SELECT src AS n, ssg AS sg FROM cr UNION SELECT dst, dsg FROM cr)"
 
+_GLOBAL = f"""{_ICN}, gn AS (SELECT n, (SELECT count(*) FROM icn) AS total FROM icn),
+ge AS (SELECT src, dst, count(*)::DOUBLE / any_value(deg) AS w FROM (SELECT *, count(*) OVER (PARTITION BY src) AS deg FROM cr) GROUP BY src, dst),
+gp(it, n, r, total) AS (SELECT 0, n, 1.0::DOUBLE / total, total FROM gn
+  UNION ALL SELECT a.it + 1, a.n, 0.15::DOUBLE / a.total + coalesce(b.s, 0), a.total
+  FROM gp a LEFT JOIN (SELECT e.dst, sum((x.r - 0.15::DOUBLE / x.total) * e.w) AS s FROM gp x JOIN ge e ON x.n = e.src GROUP BY e.dst) b ON b.dst = a.n WHERE a.it < 50),
+gaps AS (SELECT a.it, least(sum(abs(a.r - b.r)), coalesce(sum(abs(a.r - c.r)), 1e300)) AS gap FROM gp a JOIN gp b ON b.n = a.n AND b.it = a.it - 1 LEFT JOIN gp c ON c.n = a.n AND c.it = a.it - 2 GROUP BY a.it),
+settled AS (SELECT coalesce(min(it), 50) AS it FROM gaps WHERE gap <= 5.96e-8),
+gr AS (SELECT n, r FROM gp JOIN settled ON settled.it = gp.it)"""
+
 QUERIES = {f.__name__: f for f in (graph_edges, node_subgraph, node_range_join, icn_flags, icn_index, ice_list, ice_count, cross_counts, quotient_graph, partition_stats, pagerank_flat, pagerank_top, server_pr_float, server_pr_int, local_pr, local_pr_step, refinement, normalise, hierarchical_pr, global_pr_icn, fused_sg_sum)}
 ORACLES = {
     "graph_edges": f"WITH {A.EDGES_SQL} SELECT * FROM edges",
@@ -196,4 +207,6 @@ SELECT sg, r AS srv FROM srv WHERE it = 50""",
     "refinement": f"WITH RECURSIVE {_CROSS}, {_SRV}, {_REF} SELECT n, {_Q.format('ref')} AS ref_q FROM ref",
     "normalise": f"WITH RECURSIVE {_PLACED}, {_local_sql(50)}, z AS (SELECT n, n // 100 AS sg, r / sum(r) OVER (PARTITION BY n // 100) AS r FROM lo WHERE it = 50) SELECT n, sg, {_Q.format('r')} AS r_q FROM z",
     "hierarchical_pr": _HIER,
+    "global_pr_icn": f"WITH RECURSIVE {_CROSS}, {_GLOBAL} SELECT n, {_Q.format('r')} AS r_q FROM gr",
+    "fused_sg_sum": f"WITH RECURSIVE {_CROSS}, {_GLOBAL}, {_local_sql(50)}, g AS (SELECT n // 100 AS sg, sum(r) AS g FROM gr GROUP BY 1) SELECT lo.n, g.sg, {_Q.format('(lo.r * g.g)')} AS r_q FROM lo JOIN g ON g.sg = lo.n // 100 WHERE lo.it = 50",
 }

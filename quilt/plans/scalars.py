@@ -10,7 +10,8 @@ from quilt.functions import numbers as N
 from quilt.functions import strings as S
 from quilt.sources import adapters as A
 
-_CH = "substr(p_name, 1, 1)"
+#: Every ASCII character but NUL.
+_CH = "chr(CAST(p_partkey % 127 + 1 AS INT))"
 _MESSAGES = {0: "Success", 1: "Operation not permitted", 2: "No such file or directory"}
 
 _CMP = "coalesce(list_filter([ascii(substr({0}, i, 1)) - ascii(substr({1}, i, 1)) FOR i IN range(1, greatest(length({0}), length({1})) + 2)], lambda g: g <> 0)[1], 0)"
@@ -68,6 +69,26 @@ STRINGS = {
 _BIG = "o_orderkey * 600000000000000"
 _WIDE = "CAST(o_orderkey AS HUGEINT) * 600000000000000"
 _FITS = "CASE WHEN {0} BETWEEN -9223372036854775808 AND 9223372036854775807 THEN CAST({0} AS BIGINT) END"
+_HALF = "CASE WHEN {0} % 32768 >= 31744 AND {0} % 1024 > 0 THEN 'nan' ELSE CASE WHEN {0} >= 32768 THEN '-' ELSE '' END || CASE WHEN {0} % 32768 = 31744 THEN 'inf' ELSE CAST(CAST(floor(CASE WHEN {0} // 1024 % 32 = 0 THEN 0 ELSE (1 + {0} % 1024 / 1024.0::DOUBLE) * pow(2, {0} // 1024 % 32 - 15) END) AS BIGINT) AS VARCHAR) END END"
+
+
+def _label(x):
+    """A double as text: nan, inf, -inf, or sign and whole part."""
+    inf = F.lit(float("inf"))
+    whole = F.floor(F.abs(F.when(~F.isnan(x) & (F.abs(x) < inf), x))).cast("string")
+    negative = (x < 0) | (x.cast("string") == "-0.0")
+    return F.when(F.isnan(x), "nan").otherwise(F.concat(F.when(negative, "-").otherwise(""), F.when(F.abs(x) == inf, "inf").otherwise(whole)))
+
+
+def _label_sql(a: str, b: str) -> str:
+    return f"CASE WHEN {a} = 0 AND {b} = 0 THEN 'nan' ELSE CASE WHEN {a} < 0 THEN '-' ELSE '' END || CASE WHEN {b} = 0 THEN 'inf' ELSE CAST(CAST(floor(abs({a} / {b})) AS BIGINT) AS VARCHAR) END END"
+
+
+def _parts(k, c):
+    """(3 or infinite, and NaN then) + 2i times (c % 5) + (c % 3)i."""
+    return F.when(k % 2 == 0, float("inf")).otherwise(3.0), F.when(k % 2 == 0, float("inf")).otherwise(2.0), (c % 5).cast("double"), (c % 3).cast("double")
+
+
 NUMBERS = {
     "add": (lambda k, c, price, big, signed: N.checked_add(big, F.lit(N.MAX - 10**18)), _FITS.format(f"({_WIDE} + 8223372036854775807)")),
     "sub": (lambda k, c, price, big, signed: N.checked_sub(-big, F.lit(10**18)), _FITS.format(f"(-({_WIDE}) - 1000000000000000000)")),
@@ -92,17 +113,28 @@ NUMBERS = {
     "umul": (lambda k, c, price, big, signed: k * c, "o_orderkey * o_custkey"),
     "fadd": (lambda k, c, price, big, signed: price + 0.5, "o_totalprice + 0.5::DOUBLE"),
     "fmul": (lambda k, c, price, big, signed: price * 2.5, "o_totalprice * 2.5::DOUBLE"),
-    "fdiv": (lambda k, c, price, big, signed: F.isnan(N.fdiv(price * 0, (c % 2) * 0.0)), "true"),
+    "fdiv": (lambda k, c, price, big, signed: _label(N.fdiv((-k * (k % 3)).cast("double"), (c % 2).cast("double"))), _label_sql("(-o_orderkey * (o_orderkey % 3))::DOUBLE", "(o_custkey % 2)")),
+    "fsub": (lambda k, c, price, big, signed: price - 0.25, "o_totalprice - 0.25::DOUBLE"),
     "fle": (lambda k, c, price, big, signed: N.fle(price, F.lit(150000.0)), "o_totalprice <= 150000"),
-    "funord": (lambda k, c, price, big, signed: N.unordered(price, F.lit(float("nan"))), "true"),
+    "funord": (lambda k, c, price, big, signed: N.unordered(price, F.when(k % 3 == 0, float("nan")).otherwise(price)), "o_orderkey % 3 = 0"),
     "fneg": (lambda k, c, price, big, signed: -price, "-o_totalprice"),
     "fix": (lambda k, c, price, big, signed: N.fix(-price), "CAST(trunc(-o_totalprice) AS BIGINT)"),
-    "fix_clamp": (lambda k, c, price, big, signed: N.fix(price * 1e30), "9223372036854775807"),
-    "fixuns": (lambda k, c, price, big, signed: N.fixuns(-price), "CAST(0 AS BIGINT)"),
+    "fix_clamp": (lambda k, c, price, big, signed: N.fix(F.when(k % 3 == 0, price * 1e30).when(k % 3 == 1, price * -1e30).otherwise(price)), "CASE o_orderkey % 3 WHEN 0 THEN 9223372036854775807 WHEN 1 THEN -9223372036854775808 ELSE CAST(trunc(o_totalprice) AS BIGINT) END"),
+    "fixuns": (lambda k, c, price, big, signed: N.fixuns(price - 250000), "CAST(greatest(trunc(o_totalprice - 250000), 0) AS BIGINT)"),
     "float": (lambda k, c, price, big, signed: k.cast("double"), "CAST(o_orderkey AS DOUBLE)"),
     "extend": (lambda k, c, price, big, signed: k.cast("float").cast("double"), "CAST(CAST(o_orderkey AS FLOAT) AS DOUBLE)"),
     "powi": (lambda k, c, price, big, signed: N.powi((k % 50).cast("double"), 3), "CAST((o_orderkey % 50) * (o_orderkey % 50) * (o_orderkey % 50) AS DOUBLE)"),
-    "complex_re": (lambda k, c, price, big, signed: N.complex_mul(k, c, c, k)[0], "o_orderkey * o_custkey - o_custkey * o_orderkey"),
+    "complex_re": (lambda k, c, price, big, signed: N.complex_mul(k, c, c, k + 1)[0], "o_orderkey * o_custkey - o_custkey * (o_orderkey + 1)"),
+    "complex_inf_re": (lambda k, c, price, big, signed: _label(N.complex_mul_inf(*_parts(k, c))[0]), "CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_custkey % 5 > 0 AND o_custkey % 3 > 0 THEN 'nan' WHEN o_custkey % 5 > 0 THEN 'inf' WHEN o_custkey % 3 > 0 THEN '-inf' ELSE 'nan' END ELSE CAST(3 * (o_custkey % 5) - 2 * (o_custkey % 3) AS VARCHAR) END"),
+    "complex_inf_im": (lambda k, c, price, big, signed: _label(N.complex_mul_inf(*_parts(k, c))[1]), "CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_custkey % 5 + o_custkey % 3 > 0 THEN 'inf' ELSE 'nan' END ELSE CAST(3 * (o_custkey % 3) + 2 * (o_custkey % 5) AS VARCHAR) END"),
+    "bswap64": (lambda k, c, price, big, signed: N.bswap64(k), "CAST(" + " + ".join(f"((o_orderkey >> {8 * i}) & 255)::HUGEINT * {1 << (56 - 8 * i)}" for i in range(8)) + " - CASE WHEN o_orderkey & 255 >= 128 THEN 18446744073709551616::HUGEINT ELSE 0 END AS BIGINT)"),
+    "clz32": (lambda k, c, price, big, signed: N.clz32(signed), "CASE WHEN o_orderkey < 7000 THEN 0 WHEN o_orderkey = 7000 THEN 32 ELSE 31 - CAST(floor(log2(o_orderkey - 7000)) AS INTEGER) END"),
+    "ffs32": (lambda k, c, price, big, signed: N.ffs32(signed), "CASE WHEN o_orderkey = 7000 THEN 0 ELSE bit_count(((o_orderkey - 7000) & -(o_orderkey - 7000)) - 1) + 1 END"),
+    "ffs128": (lambda k, c, price, big, signed: N.ffs128(k, F.when(k % 2 == 0, c).otherwise(0)), "CASE WHEN o_orderkey % 2 = 0 AND o_custkey <> 0 THEN bit_count((o_custkey & -o_custkey) - 1) + 1 WHEN o_orderkey = 0 THEN 0 ELSE 65 + bit_count((o_orderkey & -o_orderkey) - 1) END"),
+    "umod": (lambda k, c, price, big, signed: N.umod(signed, c + 1), "CAST((CASE WHEN o_orderkey < 7000 THEN 18446744073709551616::HUGEINT ELSE 0 END + o_orderkey - 7000) % (o_custkey + 1) AS BIGINT)"),
+    "udiv_wide": (lambda k, c, price, big, signed: N.udiv(signed, c + 3), "CAST((CASE WHEN o_orderkey < 7000 THEN 18446744073709551616::HUGEINT ELSE 0 END + o_orderkey - 7000) // (o_custkey + 3) AS BIGINT)"),
+    "extend_half": (lambda k, c, price, big, signed: _label(N.extend_half(k * 13 % 65536)), _HALF.format("(o_orderkey * 13 % 65536)")),
+    "trunc_half": (lambda k, c, price, big, signed: N.trunc_half(signed.cast("double") / 64), "CAST(CASE WHEN o_orderkey < 7000 THEN 32768 ELSE 0 END + CASE WHEN o_orderkey = 7000 THEN 0 ELSE (floor(log2(abs(o_orderkey - 7000) / 64.0::DOUBLE)) + 15) * 1024 + round_even((abs(o_orderkey - 7000) / 64.0::DOUBLE / pow(2, floor(log2(abs(o_orderkey - 7000) / 64.0::DOUBLE))) - 1) * 1024, 0) END AS BIGINT)"),
     "complex_im": (lambda k, c, price, big, signed: N.complex_mul(k, c, c, k)[1], "o_orderkey * o_orderkey + o_custkey * o_custkey"),
     "labs": (lambda k, c, price, big, signed: F.abs(signed), "abs(o_orderkey - 7000)"),
     "ldiv_quot": (lambda k, c, price, big, signed: N.quot("(o_orderkey - 7000)", "9"), "(o_orderkey - 7000) // 9"),
@@ -114,7 +146,7 @@ NUMBERS = {
 
 
 def _strings():
-    return F.col("p_name"), F.col("p_type"), F.substring("p_name", 1, 1)
+    return F.col("p_name"), F.col("p_type"), F.expr("char(p_partkey % 127 + 1)")
 
 
 def _numbers():

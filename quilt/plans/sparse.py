@@ -21,6 +21,11 @@ def _sizes(m):
     return rows, cols, -(-rows // H), -(-cols // V), -(-cols // 2)
 
 
+def grid(m):
+    """Height and width of the tiles."""
+    return _sizes(m)[2:4]
+
+
 def _x(m):
     return A.input_vector(m.select("col").distinct())
 
@@ -120,10 +125,12 @@ def spmv_load_balanced(spark, d):
 
 
 def matrix_equal(spark, d):
-    """Rows that a re-tiled matrix and its source hold differently: none."""
+    """A tiled matrix against its source, put together again from tile-local ids, and one that lost its last tile."""
     m, t = _tiles(spark, d)
-    back = t.select("row", "col", "val")
-    return m.exceptAll(back).agg(F.count("*").alias("n_missing"))
+    h, w = grid(m)
+    back = t.where(f"p <> {H * V - 1}").selectExpr(f"p div {V} * {h} + local_row AS row", f"p % {V} * {w} + local_col AS col", "val")
+    whole = m.groupBy("row", "col").agg(F.sum("val").alias("val"))
+    return T.compared(whole, back.groupBy("row", "col").agg(F.sum("val").alias("val")))
 
 
 def _split_sql(even: bool) -> str:
@@ -160,5 +167,5 @@ ORACLES = {
     "nnz_split": _SPLIT[False],
     "worker_split": _SPLIT[True],
     "even_row_split": f"WITH {A.MATRIX_SQL}, n AS (SELECT (max(row) + 2) // 2 AS pairs FROM matrix), s AS (SELECT pairs // {WORKERS} AS base, pairs % {WORKERS} AS more FROM n) SELECT row, CASE WHEN row // 2 < more * (base + 1) THEN (row // 2) // (base + 1) ELSE more + (row // 2 - more * (base + 1)) // greatest(base, 1) END AS worker FROM (SELECT DISTINCT row FROM matrix), s",
-    "matrix_equal": "SELECT CAST(0 AS BIGINT) AS n_missing",
+    "matrix_equal": f"{_TILED} SELECT count(DISTINCT (row, col)) AS n_missing, CAST(0 AS BIGINT) AS n_extra, CAST(0 AS BIGINT) AS n_wrong FROM tiled WHERE p = {H * V - 1}",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import argparse
 import os
 from dataclasses import dataclass
 
@@ -19,6 +20,15 @@ class Config:
     tiles_h: int = 16
     tiles_v: int = 16
 
+    @classmethod
+    def parsed(cls, args: list[str]) -> Config:
+        """Parameters from a command line: -s width, -d workers, -n iterations, -v and -f tiles along columns and rows."""
+        parser = argparse.ArgumentParser()
+        flags = {"-s": "subgraph_width", "-d": "workers", "-n": "iterations", "-v": "tiles_v", "-f": "tiles_h"}
+        for flag, name in flags.items():
+            parser.add_argument(flag, dest=name, type=int, default=getattr(cls, name))
+        return cls(**vars(parser.parse_args(args)))
+
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""

@@ -65,3 +65,14 @@ def test_global_boundary_matches_plain_loop(graph):
         if min(gaps) <= 5.96e-8:
             break
     assert by(P.global_boundary(placed), "n", "r") == pytest.approx([rank[n] for n in range(6)], abs=1e-12)
+
+
+def test_many_tasks_do_as_one(graph, monkeypatch):
+    """Beyond the size of one task, and with every source a hub, ranks are the same."""
+    edges, nodes, placed = graph
+    monkeypatch.setattr(P, "HUB", 1)
+    monkeypatch.setattr(P._dealt, "__defaults__", (1,))
+    assert by(P.flat(edges, nodes, 12, small=0), "n", "r") == pytest.approx(by(P.flat(edges, nodes, 12), "n", "r"), abs=1e-12)
+    assert by(P.server_int(placed, nodes, 10000, 12, small=0), "sg", "srv") == by(P.server_int(placed, nodes, 10000, 12), "sg", "srv")
+    assert by(P.global_boundary(placed, 12, small=0), "n", "r") == pytest.approx(by(P.global_boundary(placed, 12), "n", "r"), abs=1e-12)
+    assert sorted(map(tuple, P.with_subgraphs(edges, nodes, 2).collect())) == sorted(map(tuple, placed.collect()))
