@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Iterator
 
@@ -29,12 +30,42 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    What is still there when the driver's process ends is deleted then.
+    """
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
+    _written.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Session and path of what materialise has written and discard hasn't deleted.
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what materialise wrote for df, which nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        for entry in [e for e in _written if path.endswith(e[1].split(":", 1)[-1].lstrip("/"))]:
+            _written.remove(entry)
+            _delete(*entry)
+
+
+@atexit.register
+def _sweep() -> None:
+    for spark, path in _written:
+        try:
+            _delete(spark, path)
+        except Exception:  # the driver's JVM has ended before its Python
+            return
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

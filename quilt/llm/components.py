@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quilt.llm import common
 
-MOST_ROUNDS = 60
-
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's least neighbour (or itself)."""
@@ -29,19 +27,20 @@ def components(edges: DataFrame) -> DataFrame:
 
     component is the least node reachable. Self-links and repeated links are
     harmless, no links give no rows. Each round's links are written to the
-    shared folder; rounds end when a round changes nothing.
+    shared folder and those of the round before are deleted; rounds (some
+    log n of them) end when one changes nothing. A hub's links meet a single
+    row in the join, so adaptive execution splits them at will.
     """
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    now, mark = common.materialise(now, "links"), None
-    for _ in range(MOST_ROUNDS):
+    before, mark = None, None
+    while True:
         # Equal counts and hash sums mean equal link sets; decimals keep the sum from overflowing.
-        found = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if (found["n"], found["h"]) == mark:
+        seen = Observation()
+        now = common.materialise(now.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), "links")
+        if before is not None:
+            common.discard(before)
+        found = (seen.get["n"], seen.get["h"])
+        if not found[0] or found == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        mark = (found["n"], found["h"])
-        if not found["n"]:
-            break
-        now = common.materialise(_small_star(_large_star(now)), "links")
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        before, mark = now, found
+        now = _small_star(_large_star(now))

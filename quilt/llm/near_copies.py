@@ -1,31 +1,39 @@
-"""Near copies by exact similarity of word shingles; MinHash bands find the candidates.
+"""SimHash near-dedup as a pipeline stage: copies by exact similarity of five-word shingles, one of each group kept.
 
 Texts are near copies if their sets of five-word shingles have a Jaccard
-similarity of 0.8 or more. Two such texts share a band key with a probability
-of at least 1 - (1 - 0.8^6)^24 = 0.9993, and all that share one are candidates.
-Members of a band key are compared with one of them, another one each turn, as
-long as pairs of candidates in different groups outnumber the keys and a turn
-takes away a tenth of them; then all such pairs are compared. Every comparison is of the shingles
-themselves.
+similarity of 0.8 or more; every link is compared shingle by shingle. SimHash
+(see simhash) finds the closest ones: fingerprints of the shingles at most four
+bits apart, by the generalised pigeonhole. At a similarity of 0.8 fingerprints
+differ in 10 bits of 64 on average and in 17 at worst in a hundred, so wide that
+any set of parts and thresholds makes nearly all pairs candidates; there the
+method can't give whole results. So each text also has 24 keys of 6 MinHash
+values: two texts of similarity 0.8 share a key with a probability of at least
+1 - (1 - 0.8^6)^24 = 0.9993, and pairs that share one and aren't linked yet are
+compared as well. While a turn halves them, members of a key are compared with
+one of them, another one each turn; then with each other.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quilt.llm import common
+from quilt.llm import common, simhash
 from quilt.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 6
-#: Pairs whose sketches agree in a share lower by this much aren't compared: 5.4 standard deviations, about one pair in ten million at 0.8.
-MARGIN = 0.18
+#: Pairs whose sketches of 144 values agree in a share lower by this much aren't compared: 4 standard deviations at 0.8, 3 pairs in 100,000.
+MARGIN = 0.134
 SEED = 42
+#: Bytes of shingles that a comparing worker remembers; no result hangs on it.
+REMEMBERED = 64 << 20
 _RANDOM = np.random.default_rng(SEED)
 _TIMES = (_RANDOM.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1))[:, None]
 _PLUS = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)[:, None]
@@ -45,25 +53,28 @@ def similar(a: set, b: set, least: float = SIMILARITY) -> bool:
     return common_ones >= least * (len(a) + len(b) - common_ones)
 
 
-def band_keys(found: set[bytes]) -> tuple[np.ndarray, bytes]:
-    """BANDS keys, each of the least values of ROWS permutations over the shingles' hashes, and a byte of each value."""
+def signature(found: set[bytes]) -> tuple[int, np.ndarray, bytes]:
+    """SimHash fingerprint of the shingles, BANDS keys of the least values of ROWS permutations each, and a byte of each value."""
     least = np.full(BANDS * ROWS, (1 << 32) - 1, dtype=np.uint32)
-    digest = xxhash.xxh32_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in found), dtype=np.uint32, count=len(found))
+    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), dtype=np.uint64, count=len(found))
+    counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 512):
-        np.minimum(least, (hashes[at : at + 512] * _TIMES + _PLUS).min(axis=1), out=least)
+        some = hashes[at : at + 512]
+        counts += simhash.ones(some)
+        np.minimum(least, (some.astype(np.uint32) * _TIMES + _PLUS).min(axis=1), out=least)
     data, width = least.tobytes(), 4 * ROWS
     keys = np.array([xxhash.xxh64_intdigest(data[i * width : (i + 1) * width], i) for i in range(BANDS)], dtype=np.uint64)
-    return keys.view(np.int64), least.astype(np.uint8).tobytes()
+    return simhash.majority(counts, len(hashes)), keys.view(np.int64), least.astype(np.uint8).tobytes()
 
 
-def _bands(batches):
+def _signatures(batches):
     for batch in batches:
         for part in common.by_bytes(batch, "text"):
-            keys, sketches = zip(*(band_keys(shingles(d.as_py())) for d in part.column("text").cast(pa.binary())))
+            prints, keys, sketches = zip(*(signature(shingles(d.as_py())) for d in part.column("text").cast(pa.binary())))
             flat = pa.array(np.concatenate(keys))
             listed = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("node"), listed, pa.array(sketches, pa.binary())], ["doc_id", "node", "bands", "sketch"])
+            fp = pa.array(np.array(prints, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column("node"), fp, listed, pa.array(sketches, pa.binary())], ["node", "fp", "bands", "sketch"])
 
 
 def _likely(least: float):
@@ -77,15 +88,26 @@ def _likely(least: float):
 
 def _compare(least: float):
     def run(batches):
-        at, held = None, set()  # rows mostly come sorted by b
+        known: OrderedDict[int, tuple[set, int]] = OrderedDict()
+        held = 0
+
+        def of(node: int, text: pa.Scalar) -> set:
+            nonlocal held
+            if node in known:
+                known.move_to_end(node)
+                return known[node][0]
+            data = text.as_py()
+            found, size = shingles(data), SHINGLE * len(data) + 1000
+            known[node] = found, size
+            held += size
+            while held > REMEMBERED and len(known) > 1:
+                held -= known.popitem(last=False)[1][1]
+            return found
+
         for batch in (part for whole in batches for part in common.by_bytes(whole, "text_a")):
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            out = []
-            for k, (x, y) in enumerate(zip(batch.column("text_a").cast(pa.binary()), batch.column("text_b").cast(pa.binary()))):
-                if b[k] != at:
-                    at, held = b[k], shingles(y.as_py())
-                if similar(shingles(x.as_py()), held, least):
-                    out.append(k)
+            texts = batch.column("text_a").cast(pa.binary()), batch.column("text_b").cast(pa.binary())
+            out = [k for k in range(batch.num_rows) if similar(of(b[k], texts[1][k]), of(a[k], texts[0][k]), least)]
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in out], pa.int64()), pa.array([b[k] for k in out], pa.int64())], ["a", "b"])
 
     return run
@@ -99,27 +121,52 @@ def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, least: fl
     some = common.materialise(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "candidates")
     left = pairs.join(some.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(some.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return common.materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(_compare(least), "a long, b long"), "similar")
+    found = common.materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(_compare(least), "a long, b long"), "similar")
+    common.discard(pairs)
+    common.discard(some)
+    return found
 
 
 def _node(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
 
 
+def _close_prints(docs: DataFrame) -> DataFrame:
+    """(a, b): texts whose fingerprints SimHash links, each fingerprint by its least node, and those of one fingerprint."""
+    prints = common.materialise(docs.groupBy("fp").agg(F.min("node").alias("least")), "prints")
+    near = simhash.links(prints.select("fp", F.col("least").alias("node"))).select("a", "b")
+    equal = docs.join(prints, "fp").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    return near.unionByName(equal).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _open_keys(label: DataFrame) -> DataFrame:
+    """(band, key, work): keys with texts of several groups, and the pairs between them."""
+    sizes = label.groupBy("band", "key", "label").agg(F.count("*").cast("double").alias("n"))
+    return sizes.groupBy("band", "key").agg(((F.sum("n") ** 2 - F.sum(F.col("n") ** 2)) / 2).alias("work")).where("work > 0")
+
+
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """(doc_id, node, component) per row of df: the hash of its text and the least one that links of near copies reach."""
+    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), _node(text_col).alias("node"))
     texts = df.select(_node(text_col).alias("node"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    named = df.select(F.col(f"`{id_col}`").alias("doc_id"), _node(text_col).alias("node"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    docs = common.materialise(named.mapInArrow(_bands, "doc_id long, node long, bands array<long>, sketch binary"), "bands")
-    sketches = common.materialise(docs.groupBy("node").agg(F.min("sketch").alias("sketch")), "sketches")
-    rows = common.materialise(docs.dropDuplicates(["node"]).select("node", F.posexplode("bands").alias("band", "key")), "band-keys")
-    n_rows, tried, links, found, worked, turn = rows.count(), [], [], None, float("inf"), 0
+    docs = common.materialise(texts.mapInArrow(_signatures, "node long, fp long, bands array<long>, sketch binary"), "signatures")
+    docs = common.materialise(docs.dropDuplicates(["node"]), "texts")
+    sketches = docs.select("node", "sketch")
+    keys = common.materialise(docs.select("node", F.posexplode("bands").alias("band", "key")), "band-keys")
+    n_rows, worked, turn = keys.count(), float("inf"), 0
+    tried = [common.materialise(_close_prints(docs.select("node", "fp")), "pairs")]
+    links = [_verified(tried[0], sketches, texts, least)]
     while True:
-        label = rows.withColumn("label", F.col("node")) if found is None else rows.join(found, "node", "left").select("node", "band", "key", F.coalesce("component", "node").alias("label"))
-        sizes = label.groupBy("band", "key", "label").agg(F.count("*").cast("double").alias("n")).groupBy("band", "key").agg(((F.sum("n") ** 2 - F.sum(F.col("n") ** 2)) / 2).alias("work"))
-        mixed = common.materialise(sizes.where("work > 0"), "open-keys")
+        every = links[0]
+        for more in links[1:]:
+            every = every.unionByName(more)
+        found = components(every)
+        label = keys.join(found, "node", "left").select("node", "band", "key", F.coalesce("component", "node").alias("label"))
+        mixed = common.materialise(_open_keys(label), "open-keys")
         work = mixed.agg(F.sum("work")).first()[0] or 0
-        last, worked = work <= n_rows or work > 0.9 * worked, work
+        if not work:
+            break
+        last, worked = work <= n_rows or work > worked / 2, work
         left = common.materialise(label.join(mixed.select("band", "key"), ["band", "key"]), "open-rows")
         if last:
             other = left.select("band", "key", F.col("node").alias("other"), F.col("label").alias("theirs"))
@@ -131,21 +178,23 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
             pairs = pairs.join(before, ["a", "b"], "left_anti")
         tried.append(common.materialise(pairs, "pairs"))
         links.append(_verified(tried[-1], sketches, texts, least))
-        every = links[0]
-        for more in links[1:]:
-            every = every.unionByName(more)
-        found = components(every)
         if last:
+            every = links[0]
+            for more in links[1:]:
+                every = every.unionByName(more)
+            found = components(every)
             break
         turn += 1
-    return docs.select("doc_id", "node").join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
+    return rows.join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """One row of df for each group of near copies, the one with the smallest doc_id; columns as they were.
 
-    Null ids come last, so a group keeps a row without an id only if none of
-    its rows has one. Null, empty and blank texts are one group.
+    Of rows with the same smallest id the one whose text has the least hash
+    stays; rows equal in id and text are one. Null ids come last, so a group
+    keeps a row without an id only if none of its rows has one. Null, empty
+    and blank texts are one group.
     """
     found = common.materialise(groups(df, id_col, text_col, least), "near-copies")
     best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node")).alias("best"))

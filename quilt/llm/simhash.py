@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from quilt.llm import common
 from quilt.llm.components import components
-from quilt.llm.minhash import one_of_each  # noqa: F401  (the stage's near-dedup, under its former name)
 
 SHINGLE = 4
 SEED = 42
@@ -52,8 +51,17 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, 1 << 15):
         to = min(n, at + (1 << 15))
-        hashes = np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts[at:to], starts[at + shingle : to + shingle])], dtype="<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        counts += ones(np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts[at:to], starts[at + shingle : to + shingle])], dtype="<u8"))
+    return majority(counts, n)
+
+
+def ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits."""
+    return np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The bits that over half of n hashes have."""
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 

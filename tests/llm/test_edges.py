@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quilt.llm import catalogue, decontam, html_blocks, html_crf, line_dedup, mixing, quality, secret_scan, simhash, token_count, tokenfile, url_rank
+from quilt.llm import catalogue, decontam, html_blocks, html_crf, line_dedup, mixing, near_copies, quality, secret_scan, simhash, token_count, tokenfile, url_rank
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, size string, fp string, kept string, spans string, d string, hash string"
 LONG = " ".join(f"w{i % 977}" for i in range(60_000))
@@ -40,7 +40,7 @@ def test_near_duplicates(docs, none):
     zero = [x for x in got if x[1] == "0" * 16]
     assert {i for i, _, _ in zero} == {2, 4, None} and {c for _, _, c in zero} == {2}
     assert [c for i, f, c in got if i is None and f != "0" * 16] == [None]
-    kept = simhash.one_of_each(docs)
+    kept = near_copies.one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == sorted((i is None, i) for i in (-7, 2, None, 3, 5))
 
@@ -51,7 +51,7 @@ def test_rows_without_id_in_near_dedup(spark):
     rows = [(1, "one two three four five six"), (None, " ".join(words)), (2, "quite another text of some words")]
     near = [(None, " ".join([*words[:199], last])) for last in "xy"]
     for extra, ids in (([], [1, 2, None]), ([rows[0]], [1, 2, None]), (near, [1, 2, None]), ([(7, near[0][1])], [1, 2, 7])):
-        kept = simhash.one_of_each(spark.createDataFrame(rows + extra, "doc_id long, text string"))
+        kept = near_copies.one_of_each(spark.createDataFrame(rows + extra, "doc_id long, text string"))
         assert sorted((r.doc_id for r in kept.collect()), key=lambda i: (i is None, i)) == ids
 
 

@@ -13,6 +13,8 @@ import pytest
 import xxhash
 
 import corpus_pipeline
+from test_near_copies import plain_heads
+
 from quilt.llm import catalogue, common, decontam, html_crf, html_training, mixing, quality, secret_scan, simhash, tokenfile
 
 SF = "/root/testdata/sf0.001"
@@ -183,23 +185,23 @@ def test_flow_meets_overlapping_quotas():
     assert mixing.min_cost_flow({("a",): 10, ("a", "b"): 10}, {"a": 20, "b": 0}) == {("a",): 10, ("a", "b"): 10}
 
 
+def plain_clean(text, items):
+    """No window of any item occurs in the text."""
+    words = decontam.words_of(text)
+    own = {n: {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} for n in {len(w) for w in items}}
+    return not any(w in own[len(w)] for w in items)
+
+
 def test_pipeline(spark, documents):
-    """The first three stages in plain Python, then the mix and the files' totals."""
+    """The first three stages in plain Python (all pairs of five-word shingles, all windows), then the mix and the files' totals."""
     docs = {}
     for r in documents:
         judged = quality.judge(r.text)
         if judged[6]:
             docs[r.doc_id] = (judged[7], r.source)
-    label = plain_components({i: plain_fingerprint(t) for i, (t, _) in docs.items()})
-    docs = {i: x for i, x in docs.items() if label[i] == i}
-    items = {r.item_id: decontam.windows_of(decontam.words_of(r.text)) for r in common.table(spark, SF, "benchmark").collect()}
-
-    def clean(text):
-        words = decontam.words_of(text)
-        own = {n: {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} for n in {len(w) for ws in items.values() for w in ws}}
-        return sum(any(w in own[len(w)] for w in ws) for ws in items.values()) < 2
-
-    docs = {i: x for i, x in docs.items() if clean(x[0])}
+    heads = plain_heads({i: t for i, (t, _) in docs.items()})
+    items = {w for r in common.table(spark, SF, "benchmark").collect() for w in decontam.windows_of(decontam.words_of(r.text))}
+    docs = {i: x for i, x in docs.items() if i in heads and plain_clean(x[0], items)}
     stage = common.table(spark, SF, "documents")
     for name, f in corpus_pipeline.STAGES[:3]:
         stage = common.materialise(f(spark, stage, SF), "test")
@@ -208,3 +210,27 @@ def test_pipeline(spark, documents):
     taken = {r.doc_id: r.taken // r.size for r in mixing.mix(stage).collect()}
     got = [r.doc_id for r in corpus_pipeline.run(spark, SF).collect()]
     assert sorted(got) == sorted(i for i, n in taken.items() for _ in range(n))
+
+
+def test_stages_catch_what_is_planted(spark):
+    """Junk, exact and near copies and one benchmark passage go, each at its stage; clean documents stay to the end."""
+    rng = random.Random(12)
+    line = lambda n: " ".join(f"word{rng.randrange(10**6)}" for _ in range(n)).capitalize() + "."
+    text = lambda: "\n".join(line(20) for _ in range(8))
+    item = next(r.text for r in common.table(spark, SF, "benchmark").orderBy("item_id").collect() if len(decontam.words_of(r.text)) >= 12)
+    rows = {i: text() for i in range(40)}
+    first = rows[3].split()
+    rows[100] = rows[3]  # a copy
+    rows[101] = " ".join([*first[:80], "changed", *first[81:]])  # a near copy
+    rows[102] = " ".join("buy now" for _ in range(100))  # nothing but repeats
+    rows[103] = text() + "\n" + item + " And so on and so forth, as it is said.\n" + text()
+    gone = [{102}, {100, 101}, {103}]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    want = set(rows)
+    for (name, f), lost in zip(corpus_pipeline.STAGES[:3], gone):
+        docs = common.materialise(f(spark, docs, SF), "test")
+        want -= lost
+        assert {r.doc_id for r in docs.collect()} == want, name
+    for name, f in corpus_pipeline.STAGES[3:]:
+        docs = common.materialise(f(spark, docs, SF), "test")
+        assert {r.doc_id for r in docs.select("doc_id").collect()} == want, name

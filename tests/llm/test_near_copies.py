@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from quilt.llm import common, minhash, quality
+from quilt.llm import common, near_copies, quality
 
 SF = "/root/testdata/sf0.001"
 
