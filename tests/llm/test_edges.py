@@ -92,10 +92,45 @@ def test_decontamination(docs, none, benchmark):
     assert decontam.search(none, benchmark).count() == 0
     assert decontam.search(docs, benchmark.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
     whole = decontam.search(docs, benchmark).select("doc_id", "n_hit", "spans", "items")
-    blocks = decontam.search(docs, benchmark, block_bytes=10).select("doc_id", "n_hit", "spans", "items")
+    blocks = decontam.search(docs, benchmark, table_bytes=10).select("doc_id", "n_hit", "spans", "items")
     assert sorted(map(repr, whole.collect())) == sorted(map(repr, blocks.collect()))
 
 
+def test_decontamination_of_odd_tables(spark, docs):
+    """String ids on either side; columns named like the results stay as they are in the stage."""
+    named = spark.createDataFrame([("x", "one two three"), (None, "w1 w2 w3 w4")], "item_id string, text string")
+    got = decontam.search(docs.selectExpr("CAST(doc_id AS STRING) AS doc_id", "text"), named).collect()
+    assert {r.doc_id for r in got if r["items"] == ["x"]} == {"1", "-7"} and {r.doc_id for r in got if r.n_hit and not r["items"]} == {"3"}
+    clash = docs.withColumns({"items": F.lit("clash"), "n_hit": F.lit(9), "c0": F.lit(1)})
+    kept = decontam.clean_documents(clash, named)
+    assert kept.columns == clash.columns and {r.doc_id for r in kept.collect()} == {2, 4, 5, None} and kept.where("items <> 'clash' OR n_hit <> 9").count() == 0
+
+
+def test_search_table_against_all_windows():
+    """Few words, so windows share blocks and suffixes; the table's size is as estimated."""
+    import pickle
+    import random
+
+    rng = random.Random(6)
+    make = lambda n, k: " ".join(rng.choice("abcde"[:k]) for _ in range(n))
+    items = [(i, make(rng.randint(0, 20), 2)) for i in range(30)]
+    tables = decontam.WuManber(items)
+    plain = {i: decontam.windows_of(decontam.words_of(t)) for i, t in items}
+    for _ in range(300):
+        words = decontam.words_of(make(rng.randint(0, 40), rng.choice((2, 2, 3))))
+        spans, found = tables.search(words)
+        hit, want = set(), set()
+        for i, ws in plain.items():
+            for w in ws:
+                for k in range(len(words) - len(w) + 1):
+                    if tuple(words[k : k + len(w)]) == w:
+                        want.add(i)
+                        hit |= set(range(k, k + len(w)))
+        assert found == want and {p for a, b in spans for p in range(a, b)} == hit
+    big = [(i, " ".join(f"w{rng.randrange(50_000)}" for _ in range(1000))) for i in range(50)]
+    assert len(pickle.dumps(decontam.WuManber(big))) < decontam.WORD_BYTES * 50_000 + sum(len(t) for _, t in big)
+
+
 def test_stage_drops_single_items(spark, docs, benchmark):
     """One planted passage of one item, with an id or without, is enough for the stage; n_items >= 2 is the query's column alone."""
     item = " ".join(f"w{i}" for i in range(5, 30))
