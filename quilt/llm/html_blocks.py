@@ -12,8 +12,13 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden
 _WORD = re.compile(r"[a-z]+")
 #: Elements whose content is no text of the page.
 RAW = frozenset("script style noscript template iframe svg math object canvas audio video title textarea select head".split())
+#: Their content is text to the end tag, whatever it looks like; without one, script, style and textarea go on to the end of the page, as in browsers.
+PLAIN = frozenset("script style textarea title iframe".split())
+TO_THE_END = frozenset("script style textarea".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q ruby rp rt s samp small span strike strong sub sup time tt u var wbr input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Other elements that stand for blocks; tags that are in no list are inline, unless a word of their name or attributes tells something.
+BLOCK = frozenset("html p h1 h2 h3 h4 h5 h6 pre li dt dd tr td th thead tbody tfoot caption colgroup figcaption details summary dialog address fieldset legend option optgroup button center dir menu hgroup search frameset noframes marquee embed".split())
 #: A start tag closes an open element of its own set, up to the nearest of the outer ones.
 CLOSES = {t: frozenset([t]) for t in ("p", "li", "option", "tr")} | {t: frozenset(["td", "th"]) for t in ("td", "th")} | {t: frozenset(["dt", "dd"]) for t in ("dt", "dd")}
 SCOPE = frozenset("article aside body div footer form header main nav ol section table ul dl blockquote figure".split())
@@ -33,6 +38,47 @@ MEANINGS = {
 _MEANING = {w: m for m, words in MEANINGS.items() for w in words.split()}
 
 
+#: Where a raw element without an end tag is taken to end.
+_NEXT_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(SCOPE | {'p', 'h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'li', 'tr', 'td', 'th', 'dt', 'dd'}))})\b", re.I)
+
+
+def _after_raw(html: str, name: str, pos: int, outer: str | None) -> int:
+    """Where the page goes on after a raw element whose start tag ends at pos; outer: the element around it.
+
+    Elements of the same name may nest. An end tag of outer before the
+    element's own means that its own is missing; the element then ends where
+    the next block starts.
+    """
+    if name in PLAIN:
+        close = re.compile(rf"</{name}\s*>", re.I).search(html, pos)
+        if close or name in TO_THE_END:
+            return close.end() if close else len(html)
+    else:
+        depth, around = 1, 0
+        names = name if outer is None or outer == name else f"{name}|{re.escape(outer)}"
+        for m in re.compile(rf"<(/?)({names})(?=[\s/>])[^>]*?(/?)>", re.I).finditer(html, pos):
+            if m[2].lower() == name:
+                depth += -1 if m[1] else not m[3]
+                if not depth:
+                    return m.end()
+            elif not m[1]:
+                around += 1
+            elif around:
+                around -= 1
+            else:
+                break
+    following = _NEXT_BLOCK.search(html, pos)
+    return following.start() if following else len(html)
+
+
+def _meanings(attributes: str) -> tuple:
+    words = [w for a in _NAME.findall(attributes) for w in _WORD.findall("".join(a).lower())]
+    found = {_MEANING[w] for w in words if w in _MEANING}
+    if _HIDDEN.search(attributes):
+        found.add("hidden")
+    return tuple(sorted(found))
+
+
 @dataclass(slots=True)
 class Block:
     text: str
@@ -86,10 +132,17 @@ def blocks(html: str | None) -> list[Block]:
             if name == "head":
                 close = re.compile(r"</head\s*>|<body\b", re.I).search(html, pos)
                 pos = (close.start() if close else pos) if not close or close[0][1] != "/" else close.end()
-            else:
-                close = re.compile(rf"</{name}\s*>", re.I).search(html, pos)
-                pos = close.end() if close else n
+            elif not (name in ("svg", "math") and attributes.rstrip().endswith("/")):
+                pos = _after_raw(html, name, pos, stack[-1][0] if stack else None)
+            continue
+        if name in RAW:  # an end tag without a start
             continue
+        meanings = _meanings(attributes) if attributes else ()
+        if name not in BLOCK and name not in SCOPE and name not in VOID:
+            own = tuple(sorted({_MEANING[w] for w in _WORD.findall(name) if w in _MEANING} | set(meanings)))
+            if not own and not (closing and any(t == name for t, _ in stack)):
+                continue
+            meanings = own
         flush()
         in_link = 0
         if closing:
@@ -108,13 +161,6 @@ def blocks(html: str | None) -> list[Block]:
                     break
                 if stack[k][0] in SCOPE:
                     break
-        meanings: tuple = ()
-        if attributes:
-            words = [w for a in _NAME.findall(attributes) for w in _WORD.findall("".join(a).lower())]
-            found = {_MEANING[w] for w in words if w in _MEANING}
-            if _HIDDEN.search(attributes):
-                found.add("hidden")
-            meanings = tuple(sorted(found))
         stack.append((name, meanings))
     flush()
     return out

@@ -62,31 +62,35 @@ class Chain:
         return "\n".join(b.text for b, y in zip(found, self.decode(self.scores(found))) if y)
 
 
-def train(pages: list[tuple[list[Block], list[int]]], steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY) -> Chain:
-    """Maximum likelihood over (blocks, labels) of labelled pages, by AdaGrad on the whole set."""
-    pages = [p for p in pages[:TRAINING_PAGES] if p[0]]
-    names: dict[str, int] = {}
-    rows, cols, at = [], [], 0
-    longest = max(len(found) for found, _ in pages)
-    place = np.full((len(pages), longest), -1)
-    gold = np.zeros((len(pages), longest), dtype=int)
-    for k, (found, labels) in enumerate(pages):
-        before = None
-        for i, b in enumerate(found):
-            for f in path_features(b.path) + text_features(b, i, len(found), before):
-                rows.append(at)
-                cols.append(names.setdefault(f, len(names)))
-            place[k, i], gold[k, i], before = at, labels[i], b
-            at += 1
-    rows, cols = np.array(rows), np.array(cols)
-    there = place >= 0
-    both = there[:, 1:]
-    w, t = np.zeros(len(names)), np.zeros((2, 2))
-    seen_w, seen_t = np.full(len(names), 1e-8), np.full((2, 2), 1e-8)
-    gold_t = np.array([[((gold[:, :-1] == a) & (gold[:, 1:] == b) & both).sum() for b in (0, 1)] for a in (0, 1)])
-    for _ in range(steps):
-        emit = np.zeros((len(pages), longest, 2))
-        emit[..., 1] = np.where(there, np.bincount(rows, weights=w[cols], minlength=at)[place], 0)
+class Evidence:
+    """Labelled pages, (blocks, labels) each, as arrays: features of blocks, and blocks and gold labels by page and place."""
+
+    def __init__(self, pages: list[tuple[list[Block], list[int]]]):
+        names: dict[str, int] = {}
+        rows, cols, at = [], [], 0
+        longest = max(len(found) for found, _ in pages)
+        self.place = np.full((len(pages), longest), -1)
+        self.gold = np.zeros((len(pages), longest), dtype=int)
+        for k, (found, labels) in enumerate(pages):
+            before = None
+            for i, b in enumerate(found):
+                for f in path_features(b.path) + text_features(b, i, len(found), before):
+                    rows.append(at)
+                    cols.append(names.setdefault(f, len(names)))
+                self.place[k, i], self.gold[k, i], before = at, labels[i], b
+                at += 1
+        self.names, self.n_blocks, self.rows, self.cols = names, at, np.array(rows), np.array(cols)
+        self.there = self.place >= 0
+        self.both = self.there[:, 1:]
+        gold = self.gold
+        self.gold_t = np.array([[((gold[:, :-1] == a) & (gold[:, 1:] == b) & self.both).sum() for b in (0, 1)] for a in (0, 1)])
+
+    def likelihood(self, w: np.ndarray, t: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Log likelihood of the gold labels and its gradients by the features' weights and by the transitions (forward and backward sums)."""
+        place, gold, there, both = self.place, self.gold, self.there, self.both
+        n_pages, longest = place.shape
+        emit = np.zeros((n_pages, longest, 2))
+        emit[..., 1] = np.where(there, np.bincount(self.rows, weights=w[self.cols], minlength=self.n_blocks)[place], 0)
         alpha, beta = np.zeros_like(emit), np.zeros_like(emit)
         alpha[:, 0] = emit[:, 0]
         for i in range(1, longest):
@@ -98,19 +102,31 @@ def train(pages: list[tuple[list[Block], list[int]]], steps: int = STEPS, rate:
             beta[:, i] = np.where(there[:, i + 1, None], step, 0)
         log_z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
         one = np.exp(alpha[..., 1] + beta[..., 1] - log_z[:, None])
-        wrong = np.zeros(at)
+        wrong = np.zeros(self.n_blocks)
         wrong[place[there]] = (gold - one)[there]
-        grad_w = np.bincount(cols, weights=wrong[rows], minlength=len(names)) - penalty * len(pages) * w
-        grad_t = gold_t.astype(float)
+        grad_t = self.gold_t.astype(float)
         for a in (0, 1):
             for b in (0, 1):
                 joint = alpha[:, :-1, a] + t[a, b] + emit[:, 1:, b] + beta[:, 1:, b] - log_z[:, None]
                 grad_t[a, b] -= np.exp(np.where(both, joint, -np.inf)).sum()
+        total = (emit[..., 1] * gold * there).sum() + (self.gold_t * t).sum() - log_z.sum()
+        return float(total), np.bincount(self.cols, weights=wrong[self.rows], minlength=len(self.names)), grad_t
+
+
+def train(pages: list[tuple[list[Block], list[int]]], steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY) -> Chain:
+    """Maximum likelihood over (blocks, labels) of labelled pages, by AdaGrad on the whole set."""
+    evidence = Evidence([p for p in pages[:TRAINING_PAGES] if p[0]])
+    n = len(evidence.place)
+    w, t = np.zeros(len(evidence.names)), np.zeros((2, 2))
+    seen_w, seen_t = np.full(len(w), 1e-8), np.full((2, 2), 1e-8)
+    for _ in range(steps):
+        _, grad_w, grad_t = evidence.likelihood(w, t)
+        grad_w -= penalty * n * w
         seen_w += grad_w**2
         seen_t += grad_t**2
         w += rate * grad_w / np.sqrt(seen_w)
         t += rate * grad_t / np.sqrt(seen_t)
-    return Chain({f: float(w[i]) for f, i in names.items()}, t.tolist())
+    return Chain({f: float(w[i]) for f, i in evidence.names.items()}, t.tolist())
 
 
 @cache

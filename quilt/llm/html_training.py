@@ -64,7 +64,8 @@ class _Page:
         for i in range(r.choice((1, 1, 2, 3, 5, 8, 14))):
             kind, text = r.random(), _MARK + self.prose()
             if i == 0 and r.random() < 0.4:
-                out.append(f"<p><b>{text}<br>")
+                mark = r.choice(("b", "i", "em", "strong", "span"))
+                out.append(r.choice((f"<p><{mark}>{text}<br>", f"<p><{mark}>{text}</{mark}><br/>{self.words(2, 9)}.</p>", f"<p class=\"lead\"><{mark}>{text}")))
             elif kind < 0.06:
                 out.append(f"<p>{_MARK}{r.choice(_PHRASES)}</p>")
             elif kind < 0.09:
@@ -100,7 +101,8 @@ class _Page:
         if r.random() < 0.25:
             out.append(self.wrap(self.named(".cookie-notice", ".consent", ".alert", ".popup-overlay"), f"<p>{r.choice((self.prose(1, 2), self.chrome()))}</p><button>{self.words(1, 1)}</button>"))
         if r.random() < 0.6:
-            out.append(f'<!-- ad {r.randint(0, 9)} --><div class="ad">{self.prose(1, 1)}</div>')
+            remark = r.choice(("", "<!-- slot -->", f"<!-- {self.words(1, 3)} -->"))
+            out.append(remark + self.wrap(self.named(".ad", ".ad", ".advert", ".sponsored", ".banner-ad"), r.choice(("{}", "{}", "<p>{}</p>", '<a href="/x">{}</a>')).format(self.prose(1, 1))))
         if r.random() < 0.2:
             out.append(f'<form action="/s"><label>{self.words(1, 2)}</label><input name="q"><button>{self.words(1, 1)}</button></form>')
         if r.random() < 0.2:
@@ -125,9 +127,26 @@ class _Page:
         if r.random() < 0.2:
             out.append(f'<div class="ad banner">{self.prose(1, 1)}</div>')
         if r.random() < 0.85:
-            out.append(self.wrap(self.named("footer", "footer", ".footer", ".site-footer", ".copyright"), r.choice(("&copy; {0} &middot; {1}", "<p>{1}</p>", "<p>&copy; 2020 {0}</p><p>{1}</p>", "<ul><li>{0}</li><li>{1}</li></ul>")).format(self.words(1, 2), r.choice((self.prose(1, 1), self.chrome())))))
+            out.append(self.wrap(self.named("footer", "footer", ".footer", ".site-footer", ".copyright"), self.imprint()))
         return out
 
+    def imprint(self) -> str:
+        r = self.rng
+        owner, more = self.words(1, 2), r.choice((self.prose(1, 1), self.chrome()))
+        sign, between = r.choice(("&copy;", "\u00a9", "(c)", "Copyright", "&#169; 2021")), r.choice((" &middot; ", " | ", " &bull; ", " - ", "<br>", ". "))
+        return r.choice((f"{sign} {owner}{between}{more}", f"{sign} {owner}{between}{more}", f"<p>{more}</p>", f"<p>{sign} 2020 {owner}</p><p>{more}</p>", f"<ul><li>{owner}</li><li>{more}</li></ul>"))
+
+    def head(self) -> str:
+        r = self.rng
+        parts = [f"<title>{self.words(2, 6)}</title>", r.choice(('<meta charset="utf-8">', '<meta name="viewport" content="width=device-width">', ""))]
+        parts += [f"<style>.{self.words(1, 1)} {{ color: #{r.randrange(1 << 24):06x} }}</style>"] * r.randint(0, 1) + [f'<script src="/{r.randrange(99)}.js"></script>'] * r.randint(0, 1)
+        r.shuffle(parts)
+        return r.choice(("<head>{}</head>", "{}")).format("".join(parts))
+
+    def noise(self) -> str:
+        """What isn't text wherever it stands."""
+        return self.rng.choice((f"<script>if (a < {self.rng.randrange(9)}) {{ show('<div>') }}</script>", "<svg><path d='M0 0'/></svg>", f"<noscript>{self.words(2, 6)}</noscript>", f"<select><option>{self.words(1, 2)}</select>"))
+
     def html(self) -> str:
         r = self.rng
         main = self.wrap(self.named("article", "article", "article", "main", ".post-content", ".entry", ".article-body", ".content", "div", "section"), self.article())
@@ -136,7 +155,9 @@ class _Page:
         inner = "".join([*self.before(), main, *self.after()])
         if r.random() < 0.2:
             inner = f'<div id="page">{inner}</div>'
-        return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{self.words(2, 6)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>{inner}</body></html>'
+        if r.random() < 0.2:
+            inner = self.noise() + inner
+        return r.choice(("<!doctype html>", "", "<?xml version='1.0'?>")) + f"<html>{self.head()}<body>{inner}</body></html>"
 
 
 def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[tuple[list[Block], list[int]]]:
