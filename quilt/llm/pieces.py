@@ -6,11 +6,13 @@ space follows anything else: the pieces' ids, joined, are the text's ids.
 Pieces recur, so a batch is cut and its distinct pieces are found in Arrow, each
 worker remembers the ids of the pieces it met, and only new ones go to the
 library: plain words straight to its merges, others joined to strings of some
-size and cut apart again by the byte length of their tokens.
+size and cut apart again by the byte length of their tokens. Vocabularies of
+another kind are known by their file and go to the library text by text.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -49,11 +51,21 @@ class Pieces:
             self.width[i] = len(token.content.encode())
         self.lengths_only = lengths_only
         self.known: dict = {}
+        self.by_pieces = self._cuts_at_space(json.loads(self.tokenizer.to_str()))
         # The vocabulary writes a byte as one character: printable Latin-1 as it is, the others from 256 on in order.
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = iter(range(256, 512))
         self.symbols = [chr(b if b in plain else next(others)) for b in range(256)]
 
+    @staticmethod
+    def _cuts_at_space(kind: dict) -> bool:
+        """Whether texts may be cut as they are here: byte-level BPE by the usual pattern, and nothing around it."""
+        before, model = kind["pre_tokenizer"] or {}, kind["model"]
+        own = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        plain = not (kind["normalizer"] or kind["truncation"] or kind["padding"] or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"))
+        whole = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or _WHITE.search(t["content"]) for t in kind["added_tokens"])
+        return bool(own and plain and whole and model.get("type") == "BPE")
+
     def _cut_uneven(self, text: str) -> list[str]:
         """Pieces of a text as _cut leaves them."""
         found = _PIECE.findall(text)
@@ -148,6 +160,10 @@ class Pieces:
         """Ids of all texts in order (none with lengths only) and the number of ids of each; a null is an empty text."""
         if not len(texts):
             return np.empty(0, "<u4"), np.empty(0, np.int64)
+        if not self.by_pieces:  # a vocabulary of another kind: whole texts
+            found = [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
+            n = np.array([len(x) for x in found], dtype=np.int64)
+            return np.empty(0, "<u4") if self.lengths_only else np.concatenate(found), n
         rows, bounds, pieces = self._cut(texts)
         found = self._values(pieces.dictionary.to_pylist(), len(pieces))
         width = np.array(found if self.lengths_only else [len(v) // 4 for v in found], dtype=np.int64)

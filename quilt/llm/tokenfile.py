@@ -15,6 +15,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,49 +25,46 @@ from quilt.llm.pieces import worker_pieces
 END_ID = 2
 STRIPE_BYTES = 64 << 20
 ROW_GROUP = 10_000
+#: Bytes of text in a range, and ranges for each core at least.
+RANGE_BYTES, RANGES_A_CORE = 128 << 20, 4
 
 
 def _schema(df: DataFrame, id_col: str) -> str:
     return f"doc_id {df.select(f'`{id_col}`').schema[0].dataType.simpleString()}, part int, part_start long, n_tokens long, ids array<int>"
 
 
-def write(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> str:
+def write(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, range_bytes: int = RANGE_BYTES) -> str:
     """Encode every row's whole text, append end_id and write ORC files under path; returns the files' schema.
 
-    Texts are dealt by ranges of doc_id, whose bounds come from the id column
-    alone, so texts are read once. An id that fills several ranges (one that
-    holds many rows) is spread over them by a hash of the text, in the order
-    of which rows of one id stand. A null id comes first, a null text is an
-    empty one (just the end id), repeated rows are all written, an empty table
-    gives an empty data set, other columns are ignored. doc_id is a whole
-    number.
+    Texts are dealt by ranges of doc_id, as many as make range_bytes of text
+    each, or a few for every core where that is more. Rows of one id stand in
+    the order of a hash of their texts and then of their place in the input,
+    so an id that holds many rows, equal ones even, is spread over ranges. A
+    null id comes first, a null text is an empty one (just the end id),
+    repeated rows are all written, an empty table gives an empty data set,
+    other columns are ignored. doc_id is of any type that sorts.
     """
     schema = _schema(df, id_col)
 
     def encode(batches):
         pieces = worker_pieces(tokenizer, False)
-        starts: dict[int, int] = {}
+        part, start = TaskContext.get().partitionId(), 0  # ranges are numbered in order
         for batch in batches:
             for rows in common.by_bytes(batch, "text"):
                 values, n = pieces.encoded(rows.column("text"))
                 values, n = np.insert(values.view("<i4"), np.cumsum(n), end_id), n + 1
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(values))
-                before = []
-                for part, k in zip(rows.column("part").to_pylist(), n.tolist()):
-                    before.append(starts.get(part, 0))
-                    starts[part] = before[-1] + k
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("part"), pa.array(before, pa.int64()), pa.array(n), lists], ["doc_id", "part", "part_start", "n_tokens", "ids"])
+                ends = np.cumsum(n)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values))
+                before = start + ends - n
+                start += int(ends[-1])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(before, pa.int64()), pa.array(n), lists], ["doc_id", "part", "part_start", "n_tokens", "ids"])
 
     rows = common.picked(df, doc_id=id_col, text=text_col)
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = [i / ranges for i in range(1, ranges)]
-    bounds = rows.agg(F.percentile_approx("doc_id", at, 10 * ranges)).first()[0] or []
-    # Ranges are counted from 0; bounds that repeat stand for one id's ranges, dealt by hash. Nulls are a range before all others.
-    below = F.size(F.filter(F.lit(bounds).cast("array<long>"), lambda b: b < F.col("doc_id")))
-    repeats = F.size(F.filter(F.lit(bounds).cast("array<long>"), lambda b: b == F.col("doc_id")))
-    tie = F.xxhash64("text")
-    part = F.when(F.col("doc_id").isNull(), F.pmod(tie, F.lit(ranges)) - ranges).otherwise(below + F.when(repeats > 1, F.pmod(tie, repeats)).otherwise(0))
-    ordered = rows.withColumn("part", part.cast("int")).repartition("part").sortWithinPartitions("part", "doc_id", F.xxhash64("text"), "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(-(-size // range_bytes), RANGES_A_CORE * df.sparkSession.sparkContext.defaultParallelism)
+    order = ["doc_id", F.xxhash64("text"), F.monotonically_increasing_id()]
+    keyed = rows.select("doc_id", "text", *[c.alias(f"o{i}") for i, c in enumerate(order[1:])])
+    ordered = keyed.repartitionByRange(ranges, "doc_id", "o0", "o1").sortWithinPartitions("doc_id", "o0", "o1").select("doc_id", "text")
     writer = ordered.mapInArrow(encode, schema).write.option("compression", "zstd")
     writer.option("orc.bloom.filter.columns", "doc_id").option("orc.stripe.size", str(STRIPE_BYTES)).option("orc.row.index.stride", str(ROW_GROUP)).orc(path)
     return schema

@@ -125,6 +125,48 @@ def test_tokens(spark, documents, tmp_path):
     assert tokenfile.read(spark, f"file://{tmp_path}/t", schema).where("doc_id = 7").count() == 1
 
 
+def _rows_read(df):
+    """Rows that the scan of a plan without exchanges hands on."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().get("numOutputRows").get().value()
+
+
+def test_reading_some_documents_skips_stripes(spark, tmp_path, monkeypatch):
+    """A range of ids is found by the stripes' minima and maxima; an id that lies between others but isn't there, by the Bloom filters."""
+    monkeypatch.setattr(tokenfile, "ROW_GROUP", 1000)
+    docs = spark.range(20_000).selectExpr("id * 2 AS doc_id", "concat('text of ', id) AS text")
+    path = f"file://{tmp_path}/t"
+    schema = tokenfile.write(docs, path, catalogue.tokenizer_path())
+    read = lambda where: _rows_read(tokenfile.read(spark, path, schema).select("doc_id", "n_tokens").where(where))
+    assert read("doc_id >= 0") == 20_000
+    assert read("doc_id BETWEEN 10000 AND 10010") <= 2000 and read("doc_id = 10000") <= 1000
+    assert read("doc_id = 10001") == 0
+
+
+def test_ranges_follow_the_bytes(spark, tmp_path):
+    """More text, more ranges; an id with many equal rows is spread over several."""
+    docs = spark.range(4000).selectExpr("CASE WHEN id < 3000 THEN 7 ELSE id END AS doc_id", "repeat('some words ', 20) AS text")
+    tokenfile.write(docs, f"file://{tmp_path}/t", catalogue.tokenizer_path(), range_bytes=20_000)
+    files = tokenfile.read(spark, f"file://{tmp_path}/t", tokenfile._schema(docs, "doc_id"))
+    assert files.select("part").distinct().count() >= 40 and files.where("doc_id = 7").select("part").distinct().count() >= 20
+    got = tokenfile.digests(spark, f"file://{tmp_path}/t", tokenfile._schema(docs, "doc_id")).orderBy("start").collect()
+    assert len(got) == 4000 and [r.doc_id for r in got] == sorted(r.doc_id for r in got) and all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:]))
+
+
+def test_vocabulary_of_another_kind(spark):
+    """Its texts go to the library whole."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quilt.llm.pieces import Pieces
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["Hello world, it's 12 o'clock", "", None, "a  b\n\nc <|endoftext|> d"]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert Pieces(path, True).lengths(texts) == [len(w) for w in want]
+    assert [np.frombuffer(b, "<u4").tolist() for b in Pieces(path, False).ids(texts)] == want
+
+
 def test_pieces_of_odd_texts():
     from quilt.llm.pieces import Pieces
 
