@@ -10,8 +10,7 @@ and a rest, for which documents are taken in seeded order.
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict
+from collections import defaultdict, deque
 from itertools import cycle
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,8 +23,6 @@ MOST_REPEATS = 3
 SEED = "mix-1"
 #: Hash buckets of a pattern, by leading hex digits of the documents' hashes.
 BUCKET_DIGITS = 3
-#: Patterns that the driver solves the flow for; more is an error, not a truncated mix.
-MAX_PATTERNS = 100_000
 
 
 def targets(sizes: dict, weights=WEIGHTS, most: int = MOST_REPEATS) -> dict:
@@ -57,63 +54,80 @@ def min_cost_flow(patterns: dict[tuple, int], quotas: dict, most: int = MOST_REP
 
     Passes are filled in order of their cost (0, 1, 2, ...), which a flow with
     convex costs allows; within a pass, augmenting paths move words between
-    the sources that a pattern may serve.
+    the sources that a pattern may serve. Paths are searched over sources
+    alone: for each two of them a stack holds the patterns that can move words
+    from one to the other, so a path costs as much as there are pairs of
+    sources, however many patterns there are.
     """
-    flow: dict = {p: defaultdict(int) for p in patterns}
-    need = {s: int(round(q)) for s, q in quotas.items()}
-    members = defaultdict(list)
-    for p in sorted(patterns, key=repr):
-        for s in p:
-            members[s].append(p)
-    spent = dict.fromkeys(patterns, 0)
+    order = sorted(patterns, key=lambda p: (len(p), repr(p)))
+    sources = sorted({s for p in order for s in p}, key=repr)
+    number = {s: i for i, s in enumerate(sources)}
+    own = [[number[s] for s in p] for p in order]
+    size = [patterns[p] for p in order]
+    need = [int(round(quotas.get(s, 0))) for s in sources]
+    flow: list[dict[int, int]] = [{} for _ in order]
+    spent = [0] * len(order)
+    movers: list[list[list[int]]] = [[[] for _ in sources] for _ in sources]
+
+    def put(k: int, s: int, step: int) -> None:
+        if not flow[k].get(s):
+            for t in own[k]:
+                movers[s][t].append(k)
+        flow[k][s] = flow[k].get(s, 0) + step
+
     for level in range(1, most + 1):
-        room = {p: level * n - spent[p] for p, n in patterns.items()}
-        for p in sorted(patterns, key=lambda p: (len(p), repr(p))):
-            for s in p:
-                step = min(room[p], need.get(s, 0))
+        room = [level * n - x for n, x in zip(size, spent)]
+        roomy: list[list[int]] = [[] for _ in sources]
+        for k, serves in enumerate(own):
+            for s in serves:
+                step = min(room[k], need[s])
                 if step > 0:
-                    flow[p][s] += step
+                    put(k, s, step)
                     need[s] -= step
-                    room[p] -= step
-                    spent[p] += step
-        while True:
-            # Shortest paths from patterns with room, over sources they may serve, to a source with need left.
-            reach: dict = {}
-            heap = [(0, repr(p), p) for p in patterns if room[p] > 0]
-            origin = {p: None for _, _, p in heap}
-            heapq.heapify(heap)
-            goal = None
-            while heap and goal is None:
-                steps, _, p = heapq.heappop(heap)
-                for s in p:
-                    if s in reach:
+                    room[k] -= step
+                    spent[k] += step
+            if room[k] > 0:
+                for s in serves:
+                    roomy[s].append(k)
+        while any(need):
+            came: dict[int, tuple | None] = {}
+            for s, stack in enumerate(roomy):
+                while stack and not room[stack[-1]]:
+                    stack.pop()
+                if stack:
+                    came[s] = None
+            queue = deque(came)
+            goal = next((s for s in came if need[s] > 0), None)
+            while queue and goal is None:
+                s = queue.popleft()
+                for t, stack in enumerate(movers[s]):
+                    if t in came:
                         continue
-                    reach[s] = p
-                    if need.get(s, 0) > 0:
-                        goal = s
-                        break
-                    for q in members[s]:
-                        if q not in origin and flow[q][s] > 0:
-                            origin[q] = s
-                            heapq.heappush(heap, (steps + 1, repr(q), q))
+                    while stack and not flow[stack[-1]].get(s):
+                        stack.pop()
+                    if stack:
+                        came[t] = (s, stack[-1])
+                        if need[t] > 0:
+                            goal = t
+                            break
+                        queue.append(t)
             if goal is None:
                 break
-            path, s = [], goal
-            while True:
-                p = reach[s]
-                path.append((p, s))
-                if origin[p] is None:
-                    break
-                s = origin[p]
-            step = min([need[goal], room[path[-1][0]], *(flow[a][t] for (a, _), (_, t) in zip(path, path[1:]))])
-            for (a, s_to), nxt in zip(path, [*path[1:], None]):
-                flow[a][s_to] += step
-                if nxt:
-                    flow[a][nxt[1]] -= step
+            moves, at = [], goal
+            while came[at]:
+                moves.append((at, *came[at]))
+                at = came[at][0]
+            first = roomy[at][-1]
+            step = min([need[goal], room[first], *(flow[k][s] for _, s, k in moves)])
+            for t, s, k in moves:
+                flow[k][s] -= step
+                put(k, t, step)
+            put(first, at, step)
             need[goal] -= step
-            room[path[-1][0]] -= step
-            spent[path[-1][0]] += step
-    return {p: sum(f.values()) for p, f in flow.items()}
+            room[first] -= step
+            spent[first] += step
+    words = dict(zip(order, spent))
+    return {p: words[p] for p in patterns}
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, most: int = MOST_REPEATS, seed: str = SEED) -> DataFrame:
@@ -130,15 +144,13 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     all but the bucket in which the rest ends, and only that one is ordered
     row by row, so no task holds a whole source.
     """
-    return _mix(df, id_col, text_col, source_col, weights, most, seed).drop("hash")
+    return _mix(df, id_col, text_col, source_col, weights, most, seed).drop("hash", "text_hash")
 
 
 def _mix(df: DataFrame, id_col: str, text_col: str, source_col: str, weights, most: int, seed: str) -> DataFrame:
     rows = common.materialise(_sized(df, id_col, text_col, source_col, seed), "mix")
-    sums = rows.groupBy("pattern").agg(F.sum("size").alias("n")).limit(MAX_PATTERNS + 1).collect()
-    if len(sums) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns; merge sources before mixing")
-    patterns = {tuple(r["pattern"]): r["n"] for r in sums}
+    # A row a pattern, however many documents have it; the flow is one problem, so it is solved on the driver.
+    patterns = {tuple(r["pattern"]): r["n"] for r in rows.groupBy("pattern").agg(F.sum("size").alias("n")).toLocalIterator()}
     sizes: dict = defaultdict(int)
     for p, n in patterns.items():
         for s in p:
@@ -161,12 +173,12 @@ def _mix(df: DataFrame, id_col: str, text_col: str, source_col: str, weights, mo
     )
     buckets = buckets.select("key", "bucket", "before", "source_size", "target", "passes", "rest", decided.alias("part"))
     joined = rows.join(buckets, ["key", "bucket"])
-    plain = joined.where("part <> 'some'").select("doc_id", "hash", "size", "source_size", "target", (F.col("size") * (F.col("passes") + (F.col("part") == "all").cast("long"))).alias("taken"))
+    plain = joined.where("part <> 'some'").select("doc_id", "hash", "text_hash", "size", "source_size", "target", (F.col("size") * (F.col("passes") + (F.col("part") == "all").cast("long"))).alias("taken"))
     # In the bucket where the rest ends, a document goes in if more than half of it fits.
     ahead = F.coalesce(F.sum("size").over(Window.partitionBy("key").orderBy("hash", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edge = joined.where("part = 'some'").withColumn("ahead", F.col("before") + ahead)
     more = (2 * F.col("ahead") + F.col("size") <= 2 * F.col("rest")).cast("long")
-    return plain.unionByName(edge.select("doc_id", "hash", "size", "source_size", "target", (F.col("size") * (F.col("passes") + more)).alias("taken")))
+    return plain.unionByName(edge.select("doc_id", "hash", "text_hash", "size", "source_size", "target", (F.col("size") * (F.col("passes") + more)).alias("taken")))
 
 
 def _key(pattern: str) -> Column:
@@ -188,20 +200,29 @@ def _sized(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: str
         pattern.alias("pattern"),
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(common.WORD)).cast("long").alias("size"),
         _hash(F.col("doc_id"), F.col("text"), seed).alias("hash"),
+        F.xxhash64("text").alias("text_hash"),
     ).withColumns({"bucket": F.substring("hash", 1, BUCKET_DIGITS), "key": _key("pattern")})
 
 
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, most: int = MOST_REPEATS, seed: str = SEED) -> DataFrame:
     """The documents of the mix, columns as they were, each as often as it is taken (whole copies).
 
-    Rows that share an id (or, without one, a text) are taken as often as the
-    one taken most often.
+    Rows that share an id but not the text are documents of their own. Rows
+    equal in both are one document: together they stand in the mix as often as
+    the mix takes each of them.
     """
-    taken = _mix(df, id_col, text_col, source_col, weights, most, seed).where("taken > 0")
-    copies = taken.groupBy(F.col("hash").alias("__at")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("__copies"))
-    placed = df.withColumn("__hash", _hash(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), seed))
-    repeated = placed.join(copies, F.col("__hash") == F.col("__at")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return repeated.select(*df.columns)
+    taken = _mix(df, id_col, text_col, source_col, weights, most, seed).where("size > 0")
+    counts = taken.groupBy(F.col("hash").alias("__at"), F.col("text_hash").alias("__of")).agg(F.count("*").alias("__rows"), F.sum(F.expr("taken div size")).alias("__copies"))
+    counts = common.materialise(counts.where("__copies > 0"), "copies")
+    placed = df.withColumns({"__hash": _hash(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), seed), "__text": F.xxhash64(F.col(f"`{text_col}`"))})
+    found = placed.join(counts, (F.col("__hash") == F.col("__at")) & (F.col("__text") == F.col("__of")))
+    times = lambda df, n: df.withColumn("__copy", F.explode(F.expr(f"sequence(1L, {n})"))).select(*names)
+    names = df.columns
+    even = times(found.where("__copies >= __rows"), "__copies div __rows")
+    if not counts.where("__copies % __rows > 0").head(1):
+        return even
+    # The rest of equal rows, fewer than they are: one of them stands for it.
+    return even.unionByName(times(found.where("__copies % __rows > 0").dropDuplicates(["__hash", "__text"]), "__copies % __rows"))
 
 
 #: DuckDB SQL for the query's rows (one source for each document).
