@@ -9,7 +9,7 @@ DataFrame expressions; each round is one join and one sum over the host edges.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quilt.llm import common
@@ -28,10 +28,11 @@ MILLION = 10**6
 FINE = 10**16
 #: Per cent of a rank that goes on along links; the rest returns to the seeds.
 DAMPING = 85
-ROUNDS = 10
+#: Rounds end when ranks, whole numbers, stay as they are, or here, where at most 0.85^60 of a rank, 6 in 100,000, is on its way.
+ROUNDS = 60
 #: Blocked if distrust exceeds this per cent of trust (and any at all).
 THRESHOLD = 100
-#: Rounds between writes of the ranks to the shared folder.
+#: Rounds between writes of the ranks to the shared folder, which divide ROUNDS.
 CUT_EVERY = 5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,18 +69,25 @@ def _propagate(seeds: DataFrame, total: int, scale: int, edges: DataFrame, round
     """(host, rank): personalised PageRank from seeds (host, weight; total in all), in parts of scale.
 
     A host's rank is divided over its out-links by their counts; hosts without
-    links pass nothing on. Restarts are each seed's share of scale, one part at least.
+    links pass nothing on. Links are written with their shares once and read
+    in every round. Restarts are each seed's share of scale, one part at least.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("out"))
-    shares = edges.join(out, "src").select("src", "dst", "n", "out")
+    shares = common.materialise(edges.join(out, "src").select("src", "dst", "n", "out"), f"{label}-shares")
     share = f"weight * {SCALE // 10**6} div {total} * {10**6}" if scale == SCALE else f"CAST(weight AS DECIMAL(19,0)) * {scale} div {total}"
-    start = seeds.selectExpr("host", f"greatest({share}, 1) AS restart")
-    rank = start.selectExpr("host", "restart AS rank")
+    start = common.materialise(seeds.selectExpr("host", f"greatest({share}, 1) AS restart"), f"{label}-seeds")
+    rank, before, mark = start.selectExpr("host", "restart AS rank"), None, None
     for i in range(rounds):
         moved = shares.join(rank, shares["src"] == rank["host"]).selectExpr("dst AS host", f"rank * {damping} div 100 div out * n AS rank")
         rank = start.selectExpr("host", f"restart * {100 - damping} div 100 AS rank").unionByName(moved).groupBy("host").agg(F.sum("rank").alias("rank"))
         if (i + 1) % CUT_EVERY == 0:
-            rank = common.materialise(rank, label)
+            seen = Observation()
+            rank = common.materialise(rank.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("host", "rank").cast("decimal(38,0)")).alias("h")), label)
+            if before is not None:
+                common.discard(before)
+            if (seen.get["n"], seen.get["h"]) == mark:
+                break
+            before, mark = rank, (seen.get["n"], seen.get["h"])
     return rank
 
 
@@ -110,7 +118,10 @@ def judge_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     distrust = _propagate(bad, totals[1], scale, back, rounds, damping, "distrust")
     scores = trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host", "full")
     method = F.when((F.coalesce("distrust", F.lit(0)) > 0) & (F.col("distrust") * 100 > F.coalesce("trust", F.lit(0)) * threshold), F.lit("block")).otherwise(F.lit("allow"))
-    kept = judged.drop("html", "url").join(scores, "host", "left")
+    # Pages without a host have no score; they are dealt by their place, not all under one key.
+    key = F.when(F.col("host") != "", F.col("host")).otherwise(F.concat(F.lit(" "), F.monotonically_increasing_id()))
+    scores = scores.withColumnRenamed("host", "scored")
+    kept = judged.drop("html", "url").withColumn("key", key).join(scores, F.col("key") == F.col("scored"), "left")
     return kept.select("page_id", "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"), *(F.expr(f"{c} div {scale // SCALE} AS {c}") for c in ("trust", "distrust")))
 
 
