@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from quilt.llm import common
 
 MIN_WORDS = 50
+#: Of the second half of a line's hash.
+LINE_SEED = 7
 #: Stands for a null id in the order of documents: the last.
 NO_ID = (1 << 63) - 1
 #: Sorts before every rank: the end of a stretch.
@@ -88,10 +90,12 @@ def _ranked(stretches: DataFrame, longest: int) -> DataFrame:
 def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(d, h, start, m): runs of m lines from line start on that occur earlier, by document id and line."""
     split = F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")
-    lines = _keyed(df, id_col, text_col).select("d", "h", split).select("d", "h", "pos", F.xxhash64("line").alias("id"), F.regexp_count("line", F.lit(common.WORD)).alias("w"))
+    lines = _keyed(df, id_col, text_col).select("d", "h", split).select("d", "h", "pos", F.xxhash64(F.lit(LINE_SEED), "line").alias("id2"), F.xxhash64("line").alias("id1"), F.regexp_count("line", F.lit(common.WORD)).alias("w"))
     lines = common.materialise(lines, "lines")
-    again = lines.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
-    shared = _with_key(lines, again, ["id"], lines.count()).drop("n").dropDuplicates(["d", "h", "pos"])
+    # Lines are told apart by 128 bits; those that occur again get numbers of their own, so nothing after this rests on hashes of lines.
+    again = lines.groupBy("id2", "id1").agg(F.count("*").alias("n")).where("n > 1")
+    again = common.materialise(again.withColumn("id", F.monotonically_increasing_id()), "repeated-lines")
+    shared = _with_key(lines, again, ["id2", "id1"], lines.count()).drop("n", "id1", "id2").dropDuplicates(["d", "h", "pos"])
     order = Window.partitionBy("d", "h").orderBy("pos")
     stretches = shared.withColumn("g", F.col("pos") - F.row_number().over(order)).withColumn("total", F.sum("w").over(Window.partitionBy("d", "h", "g")))
     stretches = common.materialise(stretches.where(F.col("total") >= min_words).drop("total"), "stretches")
