@@ -15,7 +15,7 @@ import xxhash
 import corpus_pipeline
 from test_near_copies import plain_heads
 
-from quilt.llm import catalogue, common, decontam, html_crf, html_training, mixing, quality, secret_scan, simhash, tokenfile
+from quilt.llm import catalogue, common, decontam, html_crf, html_training, line_dedup, mixing, quality, secret_scan, simhash, tokenfile
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,6 +38,74 @@ def test_sql(spark, name):
     assert sorted(repr([r[c] for c in order]) for r in got.collect()) == sorted(repr([dict(zip(names, r))[c] for c in order]) for r in want.fetchall())
 
 
+def plain_deletions(docs, min_words):
+    """Lines of every run of min_words words or more that occurs before, in order of id and line."""
+    seen, gone = {}, {}
+    for i, text in sorted(docs.items()):
+        lines = text.split("\n")
+        for a in range(len(lines)):
+            words = 0
+            for b in range(a, len(lines)):
+                words += len(lines[b].split())
+                if words >= min_words:
+                    run = tuple(lines[a : b + 1])
+                    if run in seen and seen[run] < (i, a):
+                        gone.setdefault(i, set()).update(range(a, b + 1))
+                    else:
+                        seen.setdefault(run, (i, a))
+    return gone
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_line_runs_against_all_runs(spark, seed):
+    """Runs of one line and of many (several doubling rounds), overlapping with themselves, nested, and in the same document."""
+    rng = random.Random(seed)
+    pool = [" ".join(rng.choice("abcdefg") for _ in range(rng.choice((1, 2, 3, 9)))) for _ in range(30)] + ["", "  "]
+    passages = [[rng.choice(pool) for _ in range(n)] for n in (3, 8, 20, 45)]
+    docs = {}
+    for i in range(40):
+        lines: list = []
+        for _ in range(rng.randint(1, 4)):
+            lines += rng.choice(passages)[rng.randint(0, 2) :] if rng.random() < 0.6 else [rng.choice(pool) if rng.random() < 0.7 else f"only {rng.random()}" for _ in range(rng.randint(1, 12))]
+        docs[i] = "\n".join(lines)
+    docs[40] = "\n".join(["one two"] * 40)  # a run that overlaps with itself
+    docs[41] = docs[3]
+    want = plain_deletions(docs, 15)
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), min_words=15).collect()}
+    for i, text in docs.items():
+        left = [x for k, x in enumerate(text.split("\n")) if k not in want.get(i, ())]
+        assert (got[i].n_deleted, got[i].text) == (len(want.get(i, ())), "\n".join(left)), i
+    assert sum(r.n_deleted for r in got.values()) > 100
+
+
+def test_url_ranks_of_a_link_graph(spark, tmp_path):
+    """Cycles, hosts without links out, a hub and a chain of 20 hosts from a blocked one: as the SQL has it."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = random.Random(13)
+    hosts = [f"h{i}.{rng.choice(('com', 'net', 'org', 'org', 'example.com'))}" for i in range(40)]
+    rows = []
+    for i in range(500):
+        host = rng.choice(hosts[:8]) if i % 3 else rng.choice(hosts)
+        links = [rng.choice(hosts) for _ in range(rng.choice((0, 0, 1, 3)))] + [hosts[0]] * (i % 5 == 0)
+        html = "".join(f'<a class=x href="https://{h.upper() if i % 7 == 0 else h}/p">t</a>' for h in links) or None
+        rows.append((i, f"http://{host}{rng.choice(('/es/1', '/fr/x', '/en/', '/', '/de/'))}?q", html))
+    chain = [f"c{i}.org" for i in range(20)]
+    rows += [(1000 + i, f"http://{h}/", f'<a href="http://{chain[i + 1] if i < 19 else "bad.net"}/">x</a>') for i, h in enumerate(chain)]
+    rows += [(2000, "http://bad.net/es/1", None), (2001, None, "<a href='http://h1.com/'>"), (2002, "no host", None)]
+    pq.write_table(pa.table({"page_id": [r[0] for r in rows], "url": [r[1] for r in rows], "html": [r[2] for r in rows]}), tmp_path / "pages.parquet")
+    got = catalogue.op10_url_rank(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet'")
+    want = con.execute(catalogue.oracle_sql()["op10_url_rank"])
+    names = [c[0] for c in want.description]
+    assert sorted(repr([r[c] for c in names]) for r in got) == sorted(repr(list(r)) for r in want.fetchall())
+    by_id = {r.page_id: r for r in got}
+    assert all(by_id[1000 + i].verdict == "block" for i in range(20)) and by_id[2002].verdict == "allow"
+    assert {"allow", "block"} == {r.verdict for r in got if r.rule is None and r.distrust}
+
+
 def plain_fingerprint(text):
     words = re.findall(common.WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text))
     grams = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
@@ -227,6 +295,79 @@ def test_flow_meets_overlapping_quotas():
     assert mixing.min_cost_flow({("a",): 10, ("a", "b"): 10}, {"a": 20, "b": 0}) == {("a",): 10, ("a", "b"): 10}
 
 
+def best_flow(patterns, quotas, most=3):
+    """Greatest part of the quotas and least cost of repetition, over all ways to share words out."""
+    sources = sorted(quotas)
+    states = {tuple(quotas[s] for s in sources): (0, 0)}
+    for p, n in patterns.items():
+        ways = [()]
+        for s in sources:
+            ways = [(*w, x) for w in ways for x in range((most * n - sum(w) if s in p else 0) + 1)]
+        after = {}
+        for left, (met, cost) in states.items():
+            for w in ways:
+                if all(x <= q for x, q in zip(w, left)):
+                    total = sum(w)
+                    best = (met + total, cost - sum(max(0, total - n * level) for level in range(1, most)))
+                    key = tuple(q - x for x, q in zip(w, left))
+                    after[key] = max(after.get(key, best), best)
+        states = after
+    return max(states.values())
+
+
+def test_flow_against_all_ways():
+    rng = random.Random(21)
+    sets = [("a",), ("b",), ("c",), ("a", "b"), ("b", "c"), ("a", "c"), ("a", "b", "c")]
+    for _ in range(150):
+        patterns = {p: rng.randint(0, 2) for p in rng.sample(sets, rng.randint(1, 4))}
+        quotas = {s: rng.randint(0, 5) for s in "abc"}
+        flow = mixing.min_cost_flow(patterns, quotas)
+        assert all(x <= 3 * patterns[p] for p, x in flow.items())
+        cost = sum(max(0, x - patterns[p] * level) for p, x in flow.items() for level in (1, 2))
+        assert (sum(flow.values()), -cost) == best_flow(patterns, quotas), (patterns, quotas)
+
+
+def test_flow_of_many_patterns():
+    """Over 35,000 patterns of 40 sources: quotas are met as far as sizes allow, within seconds."""
+    import time
+
+    rng = random.Random(4)
+    patterns = {p: rng.randint(1, 9) for p in {tuple(sorted(rng.sample(range(40), rng.randint(1, 6)))) for _ in range(60_000)}}
+    total = sum(patterns.values())
+    began = time.time()
+    flow = mixing.min_cost_flow(patterns, {s: total // 40 for s in range(40)})
+    assert len(patterns) > 35_000 and sum(flow.values()) == total // 40 * 40 and time.time() - began < 60
+
+
+def test_mix_of_overlapping_sources(spark):
+    """Documents of several sources are one each, and all of a mix that asks for every word comes once."""
+    rng = random.Random(2)
+    names = ["a", "b", "c"]
+    rows = [(i, "word " * rng.randint(0, 30), rng.sample(names, rng.randint(1, 3))) for i in range(400)]
+    docs = spark.createDataFrame([*rows, (900, "w w", None), (901, None, []), (902, "w", ["a", None])], "doc_id long, text string, source array<string>")
+    got = {r.doc_id: r for r in mixing.mix(docs, weights=(1,)).collect()}
+    assert len(got) == 403 and all(r.taken <= 3 * r.size for r in got.values())
+    assert abs(sum(r.taken for r in got.values()) - sum(r.size for r in got.values())) <= 30 * 9
+    assert sorted(map(tuple, mixing.mix(docs, weights=(1,)).collect())) == sorted(map(tuple, got.values()))
+
+
+def test_copies_of_rows_that_share_an_id(spark):
+    """Rows of one id with different texts are taken as the mix says of each; equal rows together as often as each of them."""
+    rng = random.Random(3)
+    rows = [(i % 60, " ".join(f"x{rng.randrange(50)}" for _ in range(rng.randint(1, 20))), rng.choice("ab")) for i in range(300)]
+    rows += [rows[0]] * 7 + [(None, "same text", "a")] * 5
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, source string, place int")
+    want, got = {}, {}
+    rated = mixing._mix(docs, "doc_id", "text", "source", (9, 1), 3, "s").collect()
+    for r in rated:
+        want[r.doc_id, r.text_hash] = want.get((r.doc_id, r.text_hash), 0) + r.taken // r.size
+    mixed = mixing.mixed_documents(docs, weights=(9, 1), seed="s")
+    assert mixed.columns == docs.columns
+    for r in mixed.selectExpr("doc_id", "xxhash64(text) AS h").collect():
+        got[r.doc_id, r.h] = got.get((r.doc_id, r.h), 0) + 1
+    assert got == {k: n for k, n in want.items() if n}
+
+
 def plain_clean(text, items):
     """No window of any item occurs in the text."""
     words = decontam.words_of(text)
