@@ -9,8 +9,9 @@ any set of parts and thresholds makes nearly all pairs candidates; there the
 method can't give whole results. So each text also has 24 keys of 6 MinHash
 values: two texts of similarity 0.8 share a key with a probability of at least
 1 - (1 - 0.8^6)^24 = 0.9993, and pairs that share one and aren't linked yet are
-compared as well. While a turn halves them, members of a key are compared with
-one of them, another one each turn; then with each other.
+compared as well: members of a key with one of them first, which joins most,
+then members of different groups with each other. The latter are compared where
+they stand, in blocks of a key's members, and only links leave the task.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ BANDS, ROWS = 24, 6
 #: Pairs whose sketches of 144 values agree in a share lower by this much aren't compared: 4 standard deviations at 0.8, 3 pairs in 100,000.
 MARGIN = 0.134
 SEED = 42
+#: Members of a key that stand together; keys with more are dealt out as pairs of blocks.
+BLOCK = 512
 #: Bytes of shingles that a comparing worker remembers; no result hangs on it.
 REMEMBERED = 64 << 20
 _RANDOM = np.random.default_rng(SEED)
@@ -86,24 +89,80 @@ def _likely(least: float):
     return run
 
 
-def _compare(least: float):
+class _Remembered:
+    """Shingles of the texts met last."""
+
+    def __init__(self):
+        self.known: OrderedDict[int, tuple[set, int]] = OrderedDict()
+        self.held = 0
+
+    def __call__(self, node: int, text: pa.Scalar) -> set:
+        if node in self.known:
+            self.known.move_to_end(node)
+            return self.known[node][0]
+        data = text.as_py()
+        found, size = shingles(data), SHINGLE * len(data) + 1000
+        self.known[node] = found, size
+        self.held += size
+        while self.held > REMEMBERED and len(self.known) > 1:
+            self.held -= self.known.popitem(last=False)[1][1]
+        return found
+
+
+def _joined_in_block(rows: pa.Table, of: _Remembered, least: float) -> list[tuple[int, int]]:
+    """Links (a, b) that join a block's groups: at most one a member. side 0 and 1 are compared with each other, or all of side 0 alone."""
+    node, label, side = (rows[c].to_numpy().copy() for c in ("node", "label", "side"))
+    sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), dtype=np.uint8).reshape(-1, BANDS * ROWS)
+    texts = rows["text"].cast(pa.binary())
+    first, second = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
+    links = []
+    for place, i in enumerate(first):
+        others = second if len(second) else first[place + 1 :]
+        others = others[label[others] != label[i]]
+        if not len(others):
+            continue
+        likely = others[np.count_nonzero(sketch[others] == sketch[i], axis=1) >= (least - MARGIN) * BANDS * ROWS]
+        for j in likely:
+            if label[j] != label[i] and similar(of(node[i], texts[i]), of(node[j], texts[j]), least):
+                links.append((max(node[i], node[j]), min(node[i], node[j])))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def _join_blocks(least: float):
+    """Rows sorted by (band, key, sub) in, links out."""
+
     def run(batches):
-        known: OrderedDict[int, tuple[set, int]] = OrderedDict()
-        held = 0
-
-        def of(node: int, text: pa.Scalar) -> set:
-            nonlocal held
-            if node in known:
-                known.move_to_end(node)
-                return known[node][0]
-            data = text.as_py()
-            found, size = shingles(data), SHINGLE * len(data) + 1000
-            known[node] = found, size
-            held += size
-            while held > REMEMBERED and len(known) > 1:
-                held -= known.popitem(last=False)[1][1]
-            return found
+        of, held = _Remembered(), []
+
+        def links(rows: pa.Table):
+            group = np.stack([rows[c].to_numpy().astype(np.int64) for c in ("band", "key", "sub")])
+            cuts = [0, *(np.nonzero((group[:, 1:] != group[:, :-1]).any(axis=0))[0] + 1).tolist(), rows.num_rows]
+            found = [x for a, b in zip(cuts, cuts[1:]) for x in _joined_in_block(rows.slice(a, b - a), of, least)]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+        for batch in (part for whole in batches for part in common.by_bytes(whole, "text")):
+            if held and any(held[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in ("band", "key", "sub")):
+                yield from links(pa.Table.from_batches(held))
+                held = []
+            # What follows may go on with the batch's last block, so that one is kept.
+            rows = pa.Table.from_batches([*held, batch])
+            same = np.ones(rows.num_rows, bool)
+            for c in ("band", "key", "sub"):
+                same &= rows[c].to_numpy() == rows[c][-1].as_py()
+            cut = int(np.argmax(same))
+            if cut:
+                yield from links(rows.slice(0, cut))
+            held = rows.slice(cut).to_batches()
+        if held:
+            yield from links(pa.Table.from_batches(held))
+
+    return run
+
 
+def _compare(least: float):
+    def run(batches):
+        of = _Remembered()
         for batch in (part for whole in batches for part in common.by_bytes(whole, "text_a")):
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             texts = batch.column("text_a").cast(pa.binary()), batch.column("text_b").cast(pa.binary())
@@ -139,10 +198,24 @@ def _close_prints(docs: DataFrame) -> DataFrame:
     return near.unionByName(equal).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _open_keys(label: DataFrame) -> DataFrame:
-    """(band, key, work): keys with texts of several groups, and the pairs between them."""
-    sizes = label.groupBy("band", "key", "label").agg(F.count("*").cast("double").alias("n"))
-    return sizes.groupBy("band", "key").agg(((F.sum("n") ** 2 - F.sum(F.col("n") ** 2)) / 2).alias("work")).where("work > 0")
+def _open_rows(keys: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, band, key, label, n): the rows of keys, n of each, that texts of several groups share; found: (node, component)."""
+    label = keys.join(found, "node", "left").select("node", "band", "key", F.coalesce("component", "node").alias("label"))
+    mixed = label.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
+    return common.materialise(label.join(common.materialise(mixed.select("band", "key", "n"), "open-keys"), ["band", "key"]), "open-rows")
+
+
+def _joined(rows: DataFrame, sketches: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b): links between groups that share keys; rows: (node, band, key, label, n)."""
+    wanted = common.materialise(rows.select("node").distinct(), "wanted")
+    some = common.materialise(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]).join(sketches, "node"), "candidates")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
+    placed = rows.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    # Block pair (i, j) with i <= j is numbered i * blocks + j; block i is side 0 and block j side 1, and i = j holds one block.
+    at = F.transform(F.expr("sequence(0L, blocks - 1)"), lambda i: F.struct((F.least(i, "mine") * F.col("blocks") + F.greatest(i, "mine")).alias("sub"), (i < F.col("mine")).cast("int").alias("side")))
+    dealt = placed.select("node", "band", "key", "label", F.inline(at)).join(some, "node")
+    ordered = dealt.select("node", "band", "key", "label", "sub", "side", "sketch", "text").repartition("band", "key", "sub").sortWithinPartitions("band", "key", "sub")
+    return common.materialise(ordered.mapInArrow(_join_blocks(least), "a long, b long"), "joined")
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -153,38 +226,17 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     docs = common.materialise(docs.dropDuplicates(["node"]), "texts")
     sketches = docs.select("node", "sketch")
     keys = common.materialise(docs.select("node", F.posexplode("bands").alias("band", "key")), "band-keys")
-    n_rows, worked, turn = keys.count(), float("inf"), 0
-    tried = [common.materialise(_close_prints(docs.select("node", "fp")), "pairs")]
-    links = [_verified(tried[0], sketches, texts, least)]
-    while True:
-        every = links[0]
-        for more in links[1:]:
-            every = every.unionByName(more)
-        found = components(every)
-        label = keys.join(found, "node", "left").select("node", "band", "key", F.coalesce("component", "node").alias("label"))
-        mixed = common.materialise(_open_keys(label), "open-keys")
-        work = mixed.agg(F.sum("work")).first()[0] or 0
-        if not work:
-            break
-        last, worked = work <= n_rows or work > worked / 2, work
-        left = common.materialise(label.join(mixed.select("band", "key"), ["band", "key"]), "open-rows")
-        if last:
-            other = left.select("band", "key", F.col("node").alias("other"), F.col("label").alias("theirs"))
-        else:
-            head = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "label"))
-            other = left.groupBy("band", "key").agg(head.alias("head")).select("band", "key", F.col("head.node").alias("other"), F.col("head.label").alias("theirs"))
-        pairs = left.join(other, ["band", "key"]).where("label < theirs" if last else "label <> theirs").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
-        for before in tried:
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
-        tried.append(common.materialise(pairs, "pairs"))
-        links.append(_verified(tried[-1], sketches, texts, least))
-        if last:
-            every = links[0]
-            for more in links[1:]:
-                every = every.unionByName(more)
-            found = components(every)
-            break
-        turn += 1
+    tried = common.materialise(_close_prints(docs.select("node", "fp")), "pairs")
+    links = _verified(tried, sketches, texts, least)
+    left = _open_rows(keys, components(links))
+    # One member of each key, the same for all, against the others.
+    head = F.min(F.struct(F.xxhash64("node"), "node", "label"))
+    heads = left.groupBy("band", "key").agg(head.alias("head")).select("band", "key", F.col("head.node").alias("other"), F.col("head.label").alias("theirs"))
+    pairs = left.join(heads, ["band", "key"]).where("label <> theirs").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+    links = links.unionByName(_verified(common.materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"), sketches, texts, least))
+    found = components(links)
+    links = links.unionByName(_joined(_open_rows(keys, found), sketches, texts, least))
+    found = components(links)
     return rows.join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
 
 
