@@ -195,14 +195,19 @@ def _close_prints(docs: DataFrame) -> DataFrame:
     prints = common.materialise(docs.groupBy("fp").agg(F.min("node").alias("least")), "prints")
     near = simhash.links(prints.select("fp", F.col("least").alias("node"))).select("a", "b")
     equal = docs.join(prints, "fp").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    return near.unionByName(equal).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    found = common.materialise(near.unionByName(equal).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    common.discard(prints)
+    return found
 
 
 def _open_rows(keys: DataFrame, found: DataFrame) -> DataFrame:
     """(node, band, key, label, n): the rows of keys, n of each, that texts of several groups share; found: (node, component)."""
     label = keys.join(found, "node", "left").select("node", "band", "key", F.coalesce("component", "node").alias("label"))
     mixed = label.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
-    return common.materialise(label.join(common.materialise(mixed.select("band", "key", "n"), "open-keys"), ["band", "key"]), "open-rows")
+    open_keys = common.materialise(mixed.select("band", "key", "n"), "open-keys")
+    rows = common.materialise(label.join(open_keys, ["band", "key"]), "open-rows")
+    common.discard(open_keys)
+    return rows
 
 
 def _joined(rows: DataFrame, sketches: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -215,27 +220,38 @@ def _joined(rows: DataFrame, sketches: DataFrame, texts: DataFrame, least: float
     at = F.transform(F.expr("sequence(0L, blocks - 1)"), lambda i: F.struct((F.least(i, "mine") * F.col("blocks") + F.greatest(i, "mine")).alias("sub"), (i < F.col("mine")).cast("int").alias("side")))
     dealt = placed.select("node", "band", "key", "label", F.inline(at)).join(some, "node")
     ordered = dealt.select("node", "band", "key", "label", "sub", "side", "sketch", "text").repartition("band", "key", "sub").sortWithinPartitions("band", "key", "sub")
-    return common.materialise(ordered.mapInArrow(_join_blocks(least), "a long, b long"), "joined")
+    links = common.materialise(ordered.mapInArrow(_join_blocks(least), "a long, b long"), "joined")
+    common.discard(wanted)
+    common.discard(some)
+    return links
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """(doc_id, node, component) per row of df: the hash of its text and the least one that links of near copies reach."""
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), _node(text_col).alias("node"))
     texts = df.select(_node(text_col).alias("node"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    docs = common.materialise(texts.mapInArrow(_signatures, "node long, fp long, bands array<long>, sketch binary"), "signatures")
-    docs = common.materialise(docs.dropDuplicates(["node"]), "texts")
+    signed = common.materialise(texts.mapInArrow(_signatures, "node long, fp long, bands array<long>, sketch binary"), "signatures")
+    docs = common.materialise(signed.dropDuplicates(["node"]), "texts")
+    common.discard(signed)
     sketches = docs.select("node", "sketch")
     keys = common.materialise(docs.select("node", F.posexplode("bands").alias("band", "key")), "band-keys")
-    tried = common.materialise(_close_prints(docs.select("node", "fp")), "pairs")
+    tried = _close_prints(docs.select("node", "fp"))
     links = _verified(tried, sketches, texts, least)
     left = _open_rows(keys, components(links))
     # One member of each key, the same for all, against the others.
     head = F.min(F.struct(F.xxhash64("node"), "node", "label"))
     heads = left.groupBy("band", "key").agg(head.alias("head")).select("band", "key", F.col("head.node").alias("other"), F.col("head.label").alias("theirs"))
     pairs = left.join(heads, ["band", "key"]).where("label <> theirs").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
-    links = links.unionByName(_verified(common.materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"), sketches, texts, least))
-    found = components(links)
-    links = links.unionByName(_joined(_open_rows(keys, found), sketches, texts, least))
+    pairs = common.materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    common.discard(left)
+    common.discard(tried)
+    links = links.unionByName(_verified(pairs, sketches, texts, least))
+    common.discard(pairs)
+    left = _open_rows(keys, components(links))
+    common.discard(keys)
+    links = links.unionByName(_joined(left, sketches, texts, least))
+    common.discard(left)
+    common.discard(docs)
     found = components(links)
     return rows.join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
 
