@@ -157,22 +157,37 @@ def complex_mul(a: Column, b: Column, c: Column, d: Column) -> tuple[Column, Col
     return a * c - b * d, a * d + b * c
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once; keeps large expressions out of generated code, which has a size limit."""
+    return F.transform(F.array(value), use)[0]
+
+
 def complex_mul_inf(a: Column, b: Column, c: Column, d: Column) -> tuple[Column, Column]:
     """The product of doubles where parts may be infinite: an infinite factor times one that isn't 0 is infinite, not NaN."""
     inf, nan = F.lit(float("inf")), F.lit(float("nan"))
     is_inf = lambda x: F.abs(x) == inf
     sign = lambda x: F.when((x < 0) | (x.cast("string") == "-0.0"), -1.0).otherwise(1.0)
-    ac, bd, ad, bc = a * c, b * d, a * d, b * c
-    re, im = ac - bd, ad + bc
-    left, right = is_inf(a) | is_inf(b), is_inf(c) | is_inf(d)
-    products = is_inf(ac) | is_inf(bd) | is_inf(ad) | is_inf(bc)
     unit = lambda x: sign(x) * F.when(is_inf(x), 1.0).otherwise(0.0)
     zero = lambda x, other: F.when(F.isnan(x) & other, sign(x) * 0.0).otherwise(x)
-    a2, b2 = (F.when(left, unit(x)).otherwise(zero(x, right | products)) for x in (a, b))
-    c2, d2 = (F.when(right, unit(x)).otherwise(zero(x, left | products)) for x in (c, d))
-    again = F.isnan(re) & F.isnan(im) & (left | right | products)
     times = lambda x: F.when(x > 0, inf).when(x < 0, -inf).otherwise(nan)
-    return F.when(again, times(a2 * c2 - b2 * d2)).otherwise(re), F.when(again, times(a2 * d2 + b2 * c2)).otherwise(im)
+
+    def products(x: Column) -> Column:
+        found = {"ac": x["a"] * x["c"], "bd": x["b"] * x["d"], "ad": x["a"] * x["d"], "bc": x["b"] * x["c"]}
+        left, right = is_inf(x["a"]) | is_inf(x["b"]), is_inf(x["c"]) | is_inf(x["d"])
+        return F.struct(*[x[n].alias(n) for n in "abcd"], *[v.alias(n) for n, v in found.items()], left.alias("left"), right.alias("right"))
+
+    def parts(x: Column) -> Column:
+        """The plain product, whether it has to be found again, and the factors for that."""
+        left, right = x["left"], x["right"]
+        large = is_inf(x["ac"]) | is_inf(x["bd"]) | is_inf(x["ad"]) | is_inf(x["bc"])
+        re, im = x["ac"] - x["bd"], x["ad"] + x["bc"]
+        one = [F.when(left, unit(x[n])).otherwise(zero(x[n], right | large)).alias(n) for n in "ab"]
+        two = [F.when(right, unit(x[n])).otherwise(zero(x[n], left | large)).alias(n) for n in "cd"]
+        return F.struct(*one, *two, re.alias("re"), im.alias("im"), (F.isnan(re) & F.isnan(im) & (left | right | large)).alias("again"))
+
+    whole = _let(_let(F.struct(a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d")), products), parts)
+    real = _let(whole, lambda x: F.when(x["again"], times(x["a"] * x["c"] - x["b"] * x["d"])).otherwise(x["re"]))
+    return real, _let(whole, lambda x: F.when(x["again"], times(x["a"] * x["d"] + x["b"] * x["c"])).otherwise(x["im"]))
 
 
 def extend_half(h: Column) -> Column:
