@@ -1,9 +1,7 @@
-"""Shared folder, materialisation and Arrow batching for the corpus operators."""
+"""Tables, columns and Arrow batching for the corpus operators; what is written in between goes through the store."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,59 +9,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words as the contracts define them: runs of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir; a local default only for local sessions."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return "file:///tmp/checkpoints"
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/quilt/{label}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors.
-
-    What is still there when the driver's process ends is deleted then.
-    """
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    _written.append((df.sparkSession, path))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from quilt.operators.store import cut as materialise
+from quilt.operators.store import discard, new_path
 
+__all__ = ["WORD", "by_bytes", "discard", "materialise", "new_path", "picked", "table"]
 
-#: Session and path of what materialise has written and discard hasn't deleted.
-_written: list[tuple[SparkSession, str]] = []
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete what materialise wrote for df, which nothing reads any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        for entry in [e for e in _written if path.endswith(e[1].split(":", 1)[-1].lstrip("/"))]:
-            _written.remove(entry)
-            _delete(*entry)
-
-
-@atexit.register
-def _sweep() -> None:
-    for spark, path in _written:
-        try:
-            _delete(spark, path)
-        except Exception:  # the driver's JVM has ended before its Python
-            return
+#: Words as the contracts define them: runs of anything but ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
