@@ -22,9 +22,9 @@ def drain(spark: SparkSession, folder: str, pattern: str, work: Callable[[DataFr
     base = new_path(spark, label)
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 16).parquet(f"{folder}/{pattern}*")
     out = work(source)
-    query = out.writeStream.format("parquet").option("path", f"{base}-out").option("checkpointLocation", f"{base}-offsets").trigger(availableNow=True).start()
+    query = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/offsets").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{base}-out")
+    return spark.read.schema(out.schema).parquet(f"{base}/out")
 
 
 def map_each(spark: SparkSession, d: str) -> DataFrame:
