@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import sys
+from collections.abc import Callable, Hashable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,10 +15,12 @@ from pyspark.sql import functions as F
 from quilt.operators.store import cut as materialise
 from quilt.operators.store import discard, new_path
 
-__all__ = ["WORD", "by_bytes", "discard", "materialise", "new_path", "picked", "table"]
+__all__ = ["WORD", "by_bytes", "discard", "kept", "lean", "materialise", "new_path", "picked", "table"]
 
 #: Words as the contracts define them: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: What a Python worker keeps between tasks, under one key at a time.
+_kept: dict = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,3 +43,36 @@ def by_bytes(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterat
         held += int(n)
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def kept(key: Hashable, make: Callable):
+    """make(), kept between a worker's tasks until it works under another key or on a lean function."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def _let_go() -> None:
+    """Drop what the worker keeps. A function of its own: one that is sent to workers gets a copy of the module's dictionary."""
+    _kept.clear()
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: Arrow's pool and, with glibc, the C heap."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        getattr(ctypes.CDLL(None), "malloc_trim", lambda n: 0)(0)
+
+
+def lean(run: Callable) -> Callable:
+    """run, a function of batches that needs its worker's memory: what the worker keeps goes first, what run frees is given back after it."""
+
+    @wraps(run)
+    def alone(batches):
+        _let_go()
+        _give_back()
+        yield from run(batches)
+        _give_back()
+
+    return alone

@@ -16,6 +16,7 @@ they stand, in blocks of a key's members, and only links leave the task.
 
 from __future__ import annotations
 
+import sys
 from collections import OrderedDict
 
 import numpy as np
@@ -101,7 +102,8 @@ class _Remembered:
             self.known.move_to_end(node)
             return self.known[node][0]
         data = text.as_py()
-        found, size = shingles(data), SHINGLE * len(data) + 1000
+        found = shingles(data)
+        size = sys.getsizeof(found) + sum(map(sys.getsizeof, found))
         self.known[node] = found, size
         self.held += size
         while self.held > REMEMBERED and len(self.known) > 1:
@@ -175,12 +177,12 @@ def _compare(least: float):
 def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) of nodes whose texts are similar."""
     pairs = pairs.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b")
-    pairs = common.materialise(pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_likely(least), "a long, b long"), "likely")
+    pairs = common.materialise(pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(common.lean(_likely(least)), "a long, b long"), "likely")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     some = common.materialise(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "candidates")
     left = pairs.join(some.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(some.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    found = common.materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(_compare(least), "a long, b long"), "similar")
+    found = common.materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(common.lean(_compare(least)), "a long, b long"), "similar")
     common.discard(pairs)
     common.discard(some)
     return found
@@ -220,7 +222,7 @@ def _joined(rows: DataFrame, sketches: DataFrame, texts: DataFrame, least: float
     at = F.transform(F.expr("sequence(0L, blocks - 1)"), lambda i: F.struct((F.least(i, "mine") * F.col("blocks") + F.greatest(i, "mine")).alias("sub"), (i < F.col("mine")).cast("int").alias("side")))
     dealt = placed.select("node", "band", "key", "label", F.inline(at)).join(some, "node")
     ordered = dealt.select("node", "band", "key", "label", "sub", "side", "sketch", "text").repartition("band", "key", "sub").sortWithinPartitions("band", "key", "sub")
-    links = common.materialise(ordered.mapInArrow(_join_blocks(least), "a long, b long"), "joined")
+    links = common.materialise(ordered.mapInArrow(common.lean(_join_blocks(least)), "a long, b long"), "joined")
     common.discard(wanted)
     common.discard(some)
     return links
@@ -230,7 +232,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     """(doc_id, node, component) per row of df: the hash of its text and the least one that links of near copies reach."""
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), _node(text_col).alias("node"))
     texts = df.select(_node(text_col).alias("node"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    signed = common.materialise(texts.mapInArrow(_signatures, "node long, fp long, bands array<long>, sketch binary"), "signatures")
+    signed = common.materialise(texts.mapInArrow(common.lean(_signatures), "node long, fp long, bands array<long>, sketch binary"), "signatures")
     docs = common.materialise(signed.dropDuplicates(["node"]), "texts")
     common.discard(signed)
     sketches = docs.select("node", "sketch")

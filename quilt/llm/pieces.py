@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from quilt.llm import common
+
 #: The white space of the pre-tokenizer's pattern (Unicode White_Space), the two common ones apart.
 _RARE = r"\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = r" \n" + _RARE
@@ -185,12 +187,6 @@ class Pieces:
         return self.encoded(pa.array(texts, pa.large_string()))[1].tolist()
 
 
-_held: dict[tuple, Pieces] = {}
-
-
 def worker_pieces(path: str, lengths_only: bool) -> Pieces:
-    """One instance for each Python worker, kept between tasks."""
-    key = (path, lengths_only)
-    if key not in _held:
-        _held[key] = Pieces(path, lengths_only)
-    return _held[key]
+    """One instance for each Python worker, kept between tasks until other work needs its memory."""
+    return common.kept(("pieces", path, lengths_only), lambda: Pieces(path, lengths_only))
