@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quilt.llm import catalogue, common, decontam, mixing, near_copies, quality, tokenfile
 
+#: Bytes of text that a worker encodes at once: executors are larger after the stages before than in a run of token files alone.
+TOKEN_BATCH = 2 << 20
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, without their failing lines."""
@@ -32,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix; a row for each document read back from them."""
     path = common.new_path(spark, "tokens")
-    schema = tokenfile.write(docs, path, catalogue.tokenizer_path())
+    schema = tokenfile.write(docs, path, catalogue.tokenizer_path(), batch_bytes=TOKEN_BATCH)
     return tokenfile.digests(spark, path, schema)
 
 

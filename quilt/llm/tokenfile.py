@@ -27,13 +27,15 @@ STRIPE_BYTES = 64 << 20
 ROW_GROUP = 10_000
 #: Bytes of text in a range, and ranges for each core at least.
 RANGE_BYTES, RANGES_A_CORE = 128 << 20, 4
+#: Bytes of text encoded at once; fewer take less of a worker's memory and more time, ids don't depend on it.
+BATCH_BYTES = 8 << 20
 
 
 def _schema(df: DataFrame, id_col: str) -> str:
     return f"doc_id {df.select(f'`{id_col}`').schema[0].dataType.simpleString()}, part int, part_start long, n_tokens long, ids array<int>"
 
 
-def write(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, range_bytes: int = RANGE_BYTES) -> str:
+def write(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, range_bytes: int = RANGE_BYTES, batch_bytes: int = BATCH_BYTES) -> str:
     """Encode every row's whole text, append end_id and write ORC files under path; returns the files' schema.
 
     Texts are dealt by ranges of doc_id, as many as make range_bytes of text
@@ -50,7 +52,7 @@ def write(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text
         pieces = worker_pieces(tokenizer, False)
         part, start = TaskContext.get().partitionId(), 0  # ranges are numbered in order
         for batch in batches:
-            for rows in common.by_bytes(batch, "text"):
+            for rows in common.by_bytes(batch, "text", batch_bytes):
                 values, n = pieces.encoded(rows.column("text"))
                 values, n = np.insert(values.view("<i4"), np.cumsum(n), end_id), n + 1
                 ends = np.cumsum(n)
