@@ -12,21 +12,32 @@ MIN, MAX = -(1 << 63), (1 << 63) - 1
 _TWO_64 = Decimal(1 << 64)
 
 
+def wide(a: Column) -> Column:
+    """A long as a whole decimal, for products and sums that no long holds."""
+    return a.cast("decimal(38,0)")
+
+
+def _fitting(a: Column) -> Column:
+    """The long of a whole decimal, null where none holds it."""
+    return F.when((a >= Decimal(MIN)) & (a <= Decimal(MAX)), a).cast("long")
+
+
 def checked_add(a: Column, b: Column) -> Column:
-    """Null on overflow; a + b itself raises."""
-    return F.try_add(a, b)
+    """a + b of longs or whole decimals as a long, null where none holds it; a + b itself raises."""
+    return _fitting(F.try_add(wide(a), wide(b)))
 
 
 def checked_sub(a: Column, b: Column) -> Column:
-    return F.try_subtract(a, b)
+    return _fitting(F.try_subtract(wide(a), wide(b)))
 
 
 def checked_mul(a: Column, b: Column) -> Column:
-    return F.try_multiply(a, b)
+    return _fitting(F.try_multiply(wide(a), wide(b)))
 
 
 def overflows_mul(a: Column, b: Column) -> Column:
-    return F.try_multiply(a, b).isNull() & a.isNotNull() & b.isNotNull()
+    """Whether no long holds a * b of longs or whole decimals."""
+    return F.when(a.isNotNull() & b.isNotNull(), _fitting(F.try_multiply(wide(a), wide(b))).isNull())
 
 
 def neg(a: Column) -> Column:

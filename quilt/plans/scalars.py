@@ -66,7 +66,6 @@ STRINGS = {
     "toupper": (lambda s, t, ch: S.toupper(ch), f"upper({_CH})"),
 }
 
-_BIG = "o_orderkey * 600000000000000"
 _WIDE = "CAST(o_orderkey AS HUGEINT) * 600000000000000"
 _FITS = "CASE WHEN {0} BETWEEN -9223372036854775808 AND 9223372036854775807 THEN CAST({0} AS BIGINT) END"
 _HALF = "CASE WHEN {0} % 32768 >= 31744 AND {0} % 1024 > 0 THEN 'nan' ELSE CASE WHEN {0} >= 32768 THEN '-' ELSE '' END || CASE WHEN {0} % 32768 = 31744 THEN 'inf' ELSE CAST(CAST(floor(CASE WHEN {0} // 1024 % 32 = 0 THEN 0 ELSE (1 + {0} % 1024 / 1024.0::DOUBLE) * pow(2, {0} // 1024 % 32 - 15) END) AS BIGINT) AS VARCHAR) END END"
@@ -151,7 +150,7 @@ def _strings():
 
 def _numbers():
     k = F.col("o_orderkey")
-    return k, F.col("o_custkey"), F.col("o_totalprice"), k * 600_000_000_000_000, k - 7000
+    return k, F.col("o_custkey"), F.col("o_totalprice"), N.wide(k) * 600_000_000_000_000, k - 7000
 
 
 def _query(table, key, inputs, column, spark, d):
