@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -14,7 +17,9 @@ ITERATIONS = 50
 CUT_EVERY = 10
 #: Nodes and edges together, as counted, up to which all rounds run in one task (some 100 MB).
 SMALL = 2_000_000
-#: Edges of one source that stand under one key.
+#: Places of a block, whose ranks are one array.
+BLOCK = 1 << 16
+#: Edges out of one block that stand under one key.
 HUB = 1_000_000
 
 
@@ -23,7 +28,8 @@ def propagate(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float =
 
     nodes: (n, base); edges: (src, dst, w), parallel edges already summed. Up
     to ``small`` measured rows all rounds run in one task; beyond that edges
-    are dealt by source once and only ranks are shuffled (see _dealt).
+    are dealt by blocks of sources once, and only arrays of ranks and of sums
+    are shuffled (see _dealt).
     """
     if nodes.count() + edges.count() <= small:
 
@@ -37,15 +43,13 @@ def propagate(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float =
             return pd.DataFrame({"n": ids, "r": rank})
 
         return _in_one_task(nodes.select("n", "base"), edges.select("src", "dst", "w"), "n long, r double", kernel)
-    dealt, fans = _dealt(edges)
-    nodes = nodes.join(fans, "n", "left").withColumn("fan", F.coalesce("fan", F.lit(1))).select("n", "base", "fan").persist()
-    now = nodes.select("n", "fan", F.col("base").alias("r"))
+    dealt = _dealt(nodes.select("n", "base"), edges.select("src", "dst", "w"))
+    now = dealt.first()
     for i in range(rounds):
-        sums = _moved(dealt, now).groupBy("dst").agg(F.sum(F.col("r") * F.col("w")).alias("s"))
-        now = nodes.join(sums, nodes["n"] == sums["dst"], "left").select("n", "fan", ((1 - damping) * F.col("base") + damping * F.coalesce("s", F.lit(0.0))).alias("r"))
+        now = dealt.after(now, lambda r, w: r * w, lambda base, sums: (1 - damping) * base + damping * sums)
         if (i + 1) % CUT_EVERY == 0 and i + 1 < rounds:
             now = cut(now, "ranks")
-    return now.select("n", "r")
+    return dealt.ranks(now)
 
 
 def _in_one_task(nodes: DataFrame, edges: DataFrame, schema: str, kernel) -> DataFrame:
@@ -56,25 +60,150 @@ def _in_one_task(nodes: DataFrame, edges: DataFrame, schema: str, kernel) -> Dat
     return grouped.applyInPandas(lambda own, found: kernel(own[columns], found[links]), schema)
 
 
-def _dealt(edges: DataFrame, hub: int = HUB) -> tuple[DataFrame, DataFrame]:
-    """Edges dealt by source once, for all rounds, and (n, fan) of hubs.
+def _numbered(nodes: DataFrame) -> DataFrame:
+    """(n, at): ids by their place in order, counted per range of ids and then over ranges."""
+    placed = cut(nodes.select("n").repartitionByRange("n").withColumn("part", F.spark_partition_id()), "numbers")
+    starts, at = [], 0
+    for r in sorted(placed.groupBy("part").count().collect(), key=lambda r: r["part"]):  # a number a partition
+        starts.append((r["part"], at))
+        at += r["count"]
+    starts = nodes.sparkSession.createDataFrame(starts, "part int, before long")
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("n")) - 1
+    return placed.withColumn("inside", inside).join(F.broadcast(starts), "part").select("n", (F.col("before") + F.col("inside")).alias("at"))
 
-    A source with more than ``hub`` edges is dealt over fan keys by its
-    destinations, so no task holds a hub's edges alone; ranks of hubs are
-    repeated for each key. What is kept in memory or on an executor's disk is
-    made anew from the written edges if the executor is lost.
-    """
-    fans = edges.groupBy(F.col("src").alias("n")).agg(F.ceil(F.count("*") / hub).cast("int").alias("fan")).where("fan > 1")
-    fans = cut(fans, "hubs")
-    salted = edges.join(fans, edges["src"] == fans["n"], "left").withColumn("salt", F.pmod(F.xxhash64("dst"), F.coalesce("fan", F.lit(1))).cast("int"))
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return salted.select("src", "salt", *[c for c in edges.columns if c != "src"]).repartition(parts, "src", "salt").persist(), fans
 
+@dataclass(frozen=True)
+class _Dealt:
+    """Edges and nodes as arrays in rows, and the rounds over them.
 
-def _moved(dealt: DataFrame, now: DataFrame) -> DataFrame:
-    """Edges with the rank r of their source; only ranks are shuffled, to where the edges are."""
-    there = now.select(F.col("n").alias("at"), "r", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("key"))
-    return dealt.join(there, (dealt["src"] == there["at"]) & (dealt["salt"] == there["key"]))
+    edges: (b, salt, s, to, first, values): those out of block b under a key,
+    sorted by destination; s are their sources' places in the block, ``to`` the
+    places of destinations and ``first`` where each one's edges begin. nodes:
+    (b, fan, ids, at, base). They are dealt over ``parts`` and ``spread`` tasks. Ranks are (b, salt, r): all of a block's places,
+    once for each key of its edges.
+    """
+
+    edges: DataFrame
+    nodes: DataFrame
+    parts: int
+    spread: int
+    values: dict[str, np.dtype]
+    dtype: np.dtype
+
+    def first(self) -> DataFrame:
+        """Ranks before the first round, the nodes' base."""
+        dtype = self.dtype
+
+        def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+            return _rows(key[0], own, np.frombuffer(own["base"].iloc[0], dtype))
+
+        return self.nodes.groupBy("b").applyInPandas(run, "b long, salt int, r binary")
+
+    def after(self, now: DataFrame, move: Callable, settle: Callable) -> DataFrame:
+        """Ranks after a round: settle(base, sums) for nodes, of move(source's rank, *values) for edges.
+
+        No join, so no table of ranks is broadcast through the driver.
+        """
+        values, dtype = self.values, self.dtype
+
+        def send(key: tuple, links: pd.DataFrame, ranks: pd.DataFrame) -> pd.DataFrame:
+            found = []
+            if len(links) and len(ranks):
+                link = links.iloc[0]
+                rank = np.frombuffer(ranks["r"].iloc[0], dtype)[np.frombuffer(link["s"], np.int32)]
+                moved = move(rank, *(np.frombuffer(link[c], t) for c, t in values.items()))
+                sums = np.add.reduceat(moved, np.frombuffer(link["first"], np.int64))
+                to = np.frombuffer(link["to"], np.int64)
+                blocks, starts = np.unique(to // BLOCK, return_index=True)
+                for block, lo, hi in zip(blocks, starts, [*starts[1:], len(to)]):
+                    found.append((block, (to[lo:hi] % BLOCK).astype(np.int32).tobytes(), sums[lo:hi].tobytes()))
+            return pd.DataFrame(found, columns=["b", "at", "sums"])
+
+        def receive(key: tuple, own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+            if not len(own):
+                return pd.DataFrame({"b": [], "salt": [], "r": []})
+            sums = np.zeros(BLOCK, dtype)
+            for at, part in zip(found["at"], found["sums"]):
+                sums[np.frombuffer(at, np.int32)] += np.frombuffer(part, dtype)
+            at, base = np.frombuffer(own["at"].iloc[0], np.int32), np.frombuffer(own["base"].iloc[0], dtype)
+            return _rows(key[0], own, settle(base, sums[at]))
+
+        there = now.repartition(self.parts, "b", "salt")
+        sums = self.edges.groupBy("b", "salt").cogroup(there.groupBy("b", "salt")).applyInPandas(send, "b long, at binary, sums binary")
+        sums = sums.repartition(self.spread, "b")
+        return self.nodes.groupBy("b").cogroup(sums.groupBy("b")).applyInPandas(receive, "b long, salt int, r binary")
+
+    def ranks(self, now: DataFrame) -> DataFrame:
+        """(n, r)"""
+        dtype = self.dtype
+
+        def run(own: pd.DataFrame, ranks: pd.DataFrame) -> pd.DataFrame:
+            at = np.frombuffer(own["at"].iloc[0], np.int32)
+            return pd.DataFrame({"n": np.frombuffer(own["ids"].iloc[0], np.int64), "r": np.frombuffer(ranks["r"].iloc[0], dtype)[at]})
+
+        return self.nodes.groupBy("b").cogroup(now.where("salt = 0").groupBy("b")).applyInPandas(run, f"n long, r {'double' if dtype == np.float64 else 'long'}")
+
+    def gap(self, one: DataFrame, other: DataFrame) -> float:
+        """Sum of the differences of ranks."""
+        dtype = self.dtype
+
+        def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"gap": [float(np.abs(np.frombuffer(a["r"].iloc[0], dtype) - np.frombuffer(b["r"].iloc[0], dtype)).sum())]})
+
+        found = one.where("salt = 0").groupBy("b").cogroup(other.where("salt = 0").groupBy("b")).applyInPandas(run, "gap double")
+        return found.agg(F.sum("gap")).first()[0] or 0.0
+
+
+def _rows(block: int, own: pd.DataFrame, ranks: np.ndarray) -> pd.DataFrame:
+    """Ranks of a block's nodes, at their places, once for each key of its edges."""
+    everywhere = np.zeros(BLOCK, ranks.dtype)
+    everywhere[np.frombuffer(own["at"].iloc[0], np.int32)] = ranks
+    fan = int(own["fan"].iloc[0])
+    return pd.DataFrame({"b": [block] * fan, "salt": range(fan), "r": [everywhere.tobytes()] * fan})
+
+
+def _dealt(nodes: DataFrame, edges: DataFrame, hub: int = HUB) -> _Dealt:
+    """Edges as arrays, dealt once for all rounds by blocks of BLOCK sources.
+
+    nodes: (n, base); edges: (src, dst, values that a round needs). A node's
+    place is its id less the least one where ids are dense, else its number in
+    order. A block with more than ``hub`` edges is dealt over fan keys by
+    destinations, so no task holds a hub's edges alone; its ranks are repeated
+    for each key. What is kept in memory or on an executor's disk is made anew
+    from the written arrays if the executor is lost.
+    """
+    types = {"double": np.dtype(np.float64), "bigint": np.dtype(np.int64)}
+    values = {c: types[t] for c, t in edges.dtypes if c not in ("src", "dst")}
+    dtype = types[dict(nodes.dtypes)["base"]]
+    least, most, n = nodes.agg(F.min("n"), F.max("n"), F.count("*")).first()
+    if most - least < 4 * n:
+        nodes = nodes.withColumn("at", F.col("n") - least)
+        edges = edges.select((F.col("src") - least).alias("s"), (F.col("dst") - least).alias("d"), *values)
+    else:
+        at = cut(_numbered(nodes), "places")
+        nodes = nodes.join(at, "n")
+        edges = edges.join(at.select(F.col("n").alias("src"), F.col("at").alias("s")), "src").join(at.select(F.col("n").alias("dst"), F.col("at").alias("d")), "dst").select("s", "d", *values)
+    block = f"CAST(s div {BLOCK} AS LONG)"
+    fans = cut(edges.groupBy(F.expr(block).alias("b")).agg(F.ceil(F.count("*") / hub).cast("int").alias("fan")), "fans")
+    most_parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(most_parts, fans.agg(F.sum("fan")).first()[0] or 0))
+    salted = edges.withColumn("b", F.expr(block)).join(fans, "b").select("b", F.pmod(F.xxhash64("d"), F.col("fan")).cast("int").alias("salt"), "s", "d", *values)
+
+    def pack(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("d", ignore_index=True)
+        to, first = np.unique(own["d"].to_numpy(), return_index=True)
+        arrays = {"s": (own["s"] % BLOCK).to_numpy().astype(np.int32), "to": to, "first": first.astype(np.int64)} | {c: own[c].to_numpy() for c in values}
+        return pd.DataFrame({"b": [key[0]], "salt": [key[1]]} | {c: [a.tobytes()] for c, a in arrays.items()})
+
+    def hold(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        arrays = {"ids": own["n"].to_numpy(), "at": (own["at"] % BLOCK).to_numpy().astype(np.int32), "base": own["base"].to_numpy()}
+        return pd.DataFrame({"b": [key[0]], "fan": [own["fan"].iloc[0]]} | {c: [a.tobytes()] for c, a in arrays.items()})
+
+    packed = salted.repartition(parts, "b", "salt").groupBy("b", "salt").applyInPandas(pack, "b long, salt int, s binary, to binary, first binary" + "".join(f", {c} binary" for c in values))
+    placed = nodes.withColumn("b", F.expr(f"CAST(at div {BLOCK} AS LONG)")).join(fans, "b", "left").na.fill({"fan": 1})
+    held = cut(placed.groupBy("b").applyInPandas(hold, "b long, fan int, ids binary, at binary, base binary"), "blocks")
+    spread = max(1, min(most_parts, held.count()))
+    return _Dealt(cut(packed, "dealt").repartition(parts, "b", "salt").persist(), held.repartition(spread, "b").persist(), parts, spread, values, dtype)
 
 
 def weighted(edges: DataFrame) -> DataFrame:
@@ -130,15 +259,13 @@ def server_int(placed: DataFrame, nodes: DataFrame, scale: int, rounds: int = IT
             return pd.DataFrame({"sg": ids, "srv": rank})
 
         return _in_one_task(parts, q, "sg long, srv long", kernel)
-    dealt, fans = _dealt(q.withColumnsRenamed({"ssg": "src", "dsg": "dst"}))
-    parts = parts.join(fans, parts["sg"] == fans["n"], "left").select("sg", F.coalesce("fan", F.lit(1)).alias("fan")).persist()
-    now = parts.select(F.col("sg").alias("n"), "fan", F.lit(scale // s).cast("long").alias("r"))
+    dealt = _dealt(parts.select(F.col("sg").alias("n"), F.lit(scale // s).cast("long").alias("base")), q.select(F.col("ssg").alias("src"), F.col("dsg").alias("dst"), "k", "ice"))
+    now = dealt.first()
     for i in range(rounds):
-        moved = _moved(dealt, now).groupBy("dst").agg(F.sum(F.expr("k * (r div ice)")).alias("s"))
-        now = parts.join(moved, parts["sg"] == moved["dst"], "left").selectExpr("sg AS n", "fan", f"{(scale - damp) // s} + ({damp} * coalesce(s, 0)) div {scale} AS r")
+        now = dealt.after(now, lambda r, k, ice: k * (r // ice), lambda base, moved: (scale - damp) // s + damp * moved // scale)
         if (i + 1) % CUT_EVERY == 0 and i + 1 < rounds:
             now = cut(now, "ranks")
-    return now.select(F.col("n").alias("sg"), F.col("r").alias("srv"))
+    return dealt.ranks(now).select(F.col("n").alias("sg"), F.col("r").alias("srv"))
 
 
 def refinement(placed: DataFrame, srv: DataFrame) -> DataFrame:
@@ -238,14 +365,12 @@ def global_boundary(placed: DataFrame, rounds: int = ITERATIONS, tolerance: floa
             return pd.DataFrame({"n": ids, "r": now})
 
         return _in_one_task(icn.select("n"), edges, "n long, r double", kernel)
-    dealt, fans = _dealt(edges)
-    icn = icn.join(fans, "n", "left").select("n", F.coalesce("fan", F.lit(1)).alias("fan")).persist()
-    now = cut(icn.select("n", "fan", F.lit(1.0 / total).alias("r"), F.lit(None).cast("double").alias("before"), F.lit(None).cast("double").alias("earlier")), "ranks")
+    dealt = _dealt(icn.select("n", F.lit(1.0 / total).alias("base")), edges)
+    now, earlier = cut(dealt.first(), "ranks"), None
     for _ in range(rounds):
-        moved = _moved(dealt, now).groupBy("dst").agg(F.sum((F.col("r") - init) * F.col("w")).alias("s"))
-        after = now.join(moved, now["n"] == moved["dst"], "left").select("n", "fan", (F.lit(init) + F.coalesce("s", F.lit(0.0))).alias("r"), F.col("r").alias("before"), F.col("before").alias("earlier"))
-        now = cut(after, "ranks")
-        gaps = [x for x in now.agg(F.sum(F.abs(F.col("r") - F.col("before"))), F.sum(F.abs(F.col("r") - F.col("earlier")))).first() if x is not None]
-        if min(gaps, default=0.0) <= tolerance:
+        after = cut(dealt.after(now, lambda r, w: (r - init) * w, lambda base, sums: init + sums), "ranks")
+        gaps = [dealt.gap(after, old) for old in (now, earlier) if old is not None]
+        earlier, now = now, after
+        if min(gaps) <= tolerance:
             break
-    return now.select("n", "r")
+    return dealt.ranks(now)
